@@ -6,13 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import line_dedup, packing, quality, simhash, suffix_dedup, token_counts, urls
+from kindred.llm import line_dedup, packing, pii, quality, simhash, suffix_dedup, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of op2's pseudonyms; a real one would come from a secret store.
+PII_KEY = "kindred-demonstration-key"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", F.size("replaced").alias("n_replaced"), F.array_join("replaced.kind", ",").alias("kinds"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
@@ -54,7 +63,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-_QUERIES = (op3_token_counts, op4_quality_rules, op5_line_dedup, op6_packing, op8_simhash_near_dedup, op9_url_filters, op10_suffix_array_dedup)
+_QUERIES = (op2_pii_pseudonyms, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_packing, op8_simhash_near_dedup, op9_url_filters, op10_suffix_array_dedup)
 
 
 def queries() -> dict:
