@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import line_dedup, packing, pii, quality, simhash, suffix_dedup, token_counts, urls
+from kindred.llm import decontam, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2, size=4096)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, d=2)
     return out.select("doc_id", simhash.hexadecimal(out.fp).alias("fingerprint"), "component_id")
@@ -63,7 +67,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-_QUERIES = (op2_pii_pseudonyms, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_packing, op8_simhash_near_dedup, op9_url_filters, op10_suffix_array_dedup)
+_QUERIES = (op2_pii_pseudonyms, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_packing, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_url_filters, op10_suffix_array_dedup)
 
 
 def queries() -> dict:
