@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontam, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_counts, urls
+from kindred.llm import decontam, line_dedup, lm_score, packing, pii, quality, simhash, suffix_dedup, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
 #: The key of op2's pseudonyms; a real one would come from a secret store.
 PII_KEY = "kindred-demonstration-key"
 
@@ -67,7 +72,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-_QUERIES = (op2_pii_pseudonyms, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_packing, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_url_filters, op10_suffix_array_dedup)
+_QUERIES = (op1_lm_scoring, op2_pii_pseudonyms, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_packing, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_url_filters, op10_suffix_array_dedup)
 
 
 def queries() -> dict:

@@ -9,9 +9,9 @@ is further apart than d. The table is sorted by the first pivot, so a fingerprin
 it only; the largest coordinate difference discards most pairs left, and the survivors are verified by counting bits.
 
 No meeting emits its pairs: it emits one link from each member to the smallest one it is connected to there.
-Meetings of over ``cap`` members are not gathered. Their members take an exact way with bounded groups instead:
-two fingerprints within d share a fingerprint z that is within ceil(d / 2) of one and floor(d / 2) of the other,
-so each is linked to the smallest of those around z.
+Meetings of over ``cap`` members are not gathered. By the same pigeonhole over other blocks their members meet again in
+finer meetings, which are as complete, and so on: each level fixes more bits, and after LEVELS only some thousands of different fingerprints
+can share all fixed bits, so the last level needs no cap.
 
 Null and word-less texts have fingerprint zero, which links like any other. Repeated rows of a doc_id stay rows
 of the result; a null doc_id takes part as an unnamed document, and is a component's name only if no other is in it.
@@ -36,6 +36,7 @@ PIVOTS = np.random.default_rng(64).integers(0, 2**64, 24, dtype=np.uint64, endpo
 #: Blocks for each distance. More blocks: longer keys and more of them.
 BLOCKS = {0: 2, 1: 3, 2: 5, 3: 6, 4: 7, 5: 8, 6: 9}
 CAP = 4096
+LEVELS = 4
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -67,10 +68,12 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(batches, "doc_id long, fp long")
 
 
-def _masks(d: int) -> list[int]:
+def _masks(d: int, level: int) -> list[int]:
+    """Bits of each choice of m - d blocks. Blocks are neighbouring bits at level 0, and bits at other strides beyond."""
     m = BLOCKS[d]
+    order = [i * (1, 23, 41, 11, 53)[level] % 64 for i in range(64)]
     edges = [64 * i // m for i in range(m + 1)]
-    blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    blocks = [sum(1 << b for b in order[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
     return [sum(c) for c in combinations(blocks, m - d)]
 
 
@@ -111,80 +114,73 @@ def _meet(fp: np.ndarray, start: np.ndarray, d: int) -> tuple[np.ndarray, np.nda
     return order[moved], order[label[moved]]
 
 
-def _links(d: int, cap: int):
-    """Reads (k, key, fp) in the order of (k, key); gives (a, b) links, and (a, null) for members of meetings over ``cap``."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _links(d: int, cap: int | None):
+    """Reads (k, key, fp) in the order of (k, key). Gives links (a, b, null), and for members of meetings over ``cap`` (a, null, meeting)."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("meeting", pa.int64())])
+
+    def over(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        name = (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(name.view(np.int64))], schema=kind)
 
     def work(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1])]
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1])])
         size = np.diff(np.r_[at, len(fp)])
         start, size = np.repeat(at, size), np.repeat(size, size)
-        small, large = (size > 1) & (size <= cap), fp[size > cap]
+        large = size > cap if cap else np.zeros(len(fp), bool)
+        small = (size > 1) & ~large
         if small.any():
             f = fp[small]
             x, y = _meet(f.view(np.uint64), start[small], d)
-            yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], schema=kind)
-        if len(large):
-            yield pa.RecordBatch.from_arrays([pa.array(large), pa.nulls(len(large), pa.int64())], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y]), pa.nulls(len(x), pa.int64())], schema=kind)
+        if large.any():
+            yield over(k[large], key[large], fp[large])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
-        over = None  # the key of a run that is known to be over the cap; its rows pass through
+        passing = None  # the key of a meeting that is known to be over the cap; its rows pass through
         for b in it:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols = [b.column(i).to_numpy() for i in range(3)]
             if kept is not None:
-                cols = [np.concatenate(p) for p in zip(kept, cols, strict=False)]
-            if not len(cols[2]):
+                cols, kept = [np.concatenate(p) for p in zip(kept, cols, strict=True)], None
+            if passing is not None:
+                rest = np.flatnonzero((cols[0] != passing[0]) | (cols[1] != passing[1]))
+                n = rest[0] if len(rest) else len(cols[0])
+                if n:
+                    yield over(*(x[:n] for x in cols))
+                cols = [x[n:] for x in cols]
+            if not len(cols[0]):
                 continue
+            passing = None
             k, key, fp = cols
-            if over is not None:
-                rest = np.flatnonzero((k != over[0]) | (key != over[1]))
-                n = rest[0] if len(rest) else len(fp)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[:n]), pa.nulls(n, pa.int64())], schema=kind)
-                kept = None
-                if n == len(fp):
-                    continue
-                over, (k, key, fp) = None, (x[n:] for x in cols)
             last = np.flatnonzero((k != k[-1]) | (key != key[-1]))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
                 yield from work(k[:cut], key[:cut], fp[:cut])
-            if len(fp) - cut > cap:
-                over = (k[-1], key[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(fp[cut:]), pa.nulls(len(fp) - cut, pa.int64())], schema=kind)
-                kept = None
+            tail = [x[cut:] for x in cols]
+            if cap and len(fp) - cut > cap:
+                passing = (k[-1], key[-1])
+                yield over(*tail)
             else:
-                kept = [k[cut:], key[cut:], fp[cut:]]
+                kept = tail
         if kept is not None and len(kept[2]):
             yield from work(*kept)
 
     return batches
 
 
-def _ball(fp, radius: int):
-    """Array column of all fingerprints within ``radius`` of fp."""
-    flips = [0, *(1 << i for i in range(64))]
-    if radius == 2:
-        flips += [1 << i | 1 << j for i in range(64) for j in range(i)]
-    elif radius > 2:
-        raise ValueError("meetings over the cap need a distance of 4 at most")
-    return F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), lambda x: fp.bitwiseXOR(x))
-
-
 def links(fps: DataFrame, d: int, cap: int = CAP) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fps`` (fp) that connect all pairs within ``d`` bits."""
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_masks(d))])
-    met = fps.select("fp", F.inline(keys)).select("k", "key", "fp").repartition("k", "key").sortWithinPartitions("k", "key")
     ship(fps.sparkSession)
-    found = materialize(met.mapInArrow(_links(d, cap), "a long, b long"))
-    out = found.where("b is not null")
-    large = found.where("b is null").select("a").distinct()
-    if d and large.limit(1).count():
-        around = large.select("a", F.explode(_ball(F.col("a"), (d + 1) // 2)).alias("z"))
-        low = around.groupBy("z").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        out = out.union(around.join(low, "z").where("a <> b").select("a", "b"))
+    members, out = fps.select("fp", F.lit(0).cast("long").alias("meeting")), None
+    for level in range(LEVELS + 1):
+        keys = [F.struct(F.xxhash64("meeting", F.lit(i)).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_masks(d, level))]
+        met = members.select("fp", F.inline(F.array(*keys))).select("k", "key", "fp").repartition("k", "key").sortWithinPartitions("k", "key")
+        found = materialize(met.mapInArrow(_links(d, cap if level < LEVELS else None), "a long, b long, meeting long"))
+        own = found.where("b is not null").select("a", "b")
+        out = own if out is None else out.union(own)
+        members = found.where("meeting is not null").select(F.col("a").alias("fp"), "meeting")
+        if not members.limit(1).count():
+            break
     return out.distinct()
 
 
