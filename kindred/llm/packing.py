@@ -14,6 +14,8 @@ Null text is empty: a document of the end id only. Rows that repeat a doc_id are
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,40 +28,76 @@ from pyspark.sql.window import Window
 from kindred.sources.storage import materialize, ship
 
 #: Encoded words kept in a worker.
-CACHE = 400_000
+CACHE = 300_000
 #: Rows that a rank bucket should have, and the fewest buckets.
 BUCKET_ROWS, BUCKETS = 50_000, 256
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins words over it, so a word's ids are kept."""
+    """Ids of whole texts. The tokenizer drops white space and never joins words over it, so a word's ids are kept.
+
+    A new word of letters, with a mark after it or not, is two units of the tokenizer at most, and case doesn't count; new units are
+    encoded together, one space between them, and each ends with a word-end token. All other words are encoded one by one.
+    """
+
+    #: Letters of one unit, and a mark that is a second one. All stay letters under the tokenizer's normaliser.
+    PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]?")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.units: dict[str, bytes] = {}
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
+
+    def _units(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of one unit."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(units) and last[-1] == len(ids) - 1:
+            data, at = ids.tobytes(), (4 * (last + 1)).tolist()
+            return zip(units, map(data.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True)
+        got = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        return ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(units, got, strict=True))
+
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        plain = list(filter(self.PLAIN.fullmatch, words))
+        marks, units = self.marks, self.units
+        split = [(w, w[:-1].lower(), w[-1]) if w[-1] in marks else (w, w.lower(), "") for w in plain]
+        new = list({u for _, u, _ in split}.difference(units))
+        room = max(0, CACHE - len(units))
+        for i in range(0, len(new), 5_000):
+            units.update(self._units(new[i : i + 5_000]))
+        yield from [(w, units[u] + marks[m] if m else units[u]) for w, u, m in split]
+        for u in new[room:]:
+            del units[u]
+        other = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        if other:
+            got = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+            yield from ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, got, strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # Python's split also cuts at four control characters that the tokenizer doesn't take for white space
-        split = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else [w for w in t.replace("\n", " ").replace("\t", " ").split(" ") if w] for t in texts]
+        split = [t.split() if not _CONTROLS.search(t) else [w for w in re.split("[ \t\n]", t) if w] for t in texts]
         known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            fresh.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        out = [b"".join([known.get(w) or fresh.get(w, b"") for w in words]) if fresh else b"".join(map(known.__getitem__, words)) for words in split]
-        for w, ids in fresh.items():
-            if len(known) >= CACHE:
-                break
-            if len(w) <= 64:
-                known[w] = ids
-        return [np.frombuffer(x, "<u4") for x in out]
+        new = list(set().union(*(set(words).difference(known) for words in split)))
+        room = max(0, CACHE - len(known))
+        for i in range(0, len(new), 5_000):
+            known.update(self._encode(new[i : i + 5_000]))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new[room:]:
+            del known[w]
+        return out
 
 
+_CONTROLS = re.compile("[\x1c-\x1f]")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -71,11 +109,11 @@ def _pieces(path: str, end: int, size: int):
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         for b in it:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
                 rows: list[tuple] = []
                 for i, ids in zip(part.column(0).to_pylist(), _encoders[path].encode(part.column(1).to_pylist()), strict=True):
-                    data = ids.tobytes() + last
+                    data = ids + last
                     n = len(data) // 4
                     rows.extend((i, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)]), n) for s in range(0, n, size))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
