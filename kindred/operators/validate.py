@@ -59,10 +59,10 @@ def check_file(spark: SparkSession, path: str, header: tuple[str, str], entities
     wanted = "\t".join(header).lower()
     empty = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     same = F.array_join(F.transform(F.split("value", "\t"), lambda x: F.lower(F.trim(x))), "\t") == wanted
-    commas = F.array_join(F.transform(F.split("value", ","), lambda x: F.lower(F.trim(x))), "\t") == wanted
+    commas = F.col("value").contains(",") & (F.array_join(F.transform(F.split("value", ","), lambda x: F.lower(F.trim(x))), "\t") == wanted)
     rest = lines.join(first.select("at"), "at", "left_anti").where("value <> ''")
     parts = F.split("value", "\t")
-    lists = rest.where(F.col("value").contains("\t")).select(F.trim(parts[0]).alias("s1_id"), id_list(parts[1]).alias("ids"))
+    lists = rest.where(F.col("value").contains("\t")).select(F.trim(parts[0]).alias("s1_id"), id_list(F.get(parts, 1)).alias("ids"))
     head = _found(empty, F.col("n"), "empty file").unionByName(_found(first.where(commas), F.col("value"), "commas, not tabs")).unionByName(_found(first.where(~same & ~commas), F.col("value"), "wrong header"))
     return head.unionByName(_found(rest.where(~F.col("value").contains("\t")), F.col("value"), "row without tab")).unionByName(check_lists(lists, entities, targets))
 

@@ -711,7 +711,7 @@ def subset_check(spark, d):
 def validate_report(spark, d):
     """All list checks of the decided matches; entities without a match are reported as missing."""
     s1, t, _ = sides(spark, d)
-    return validate.check_lists(_lists(spark, d), s1.select(F.col("entity_id").alias("s1_id")), t.select("entity_id"))
+    return validate.check_lists(materialize(_lists(spark, d)), s1.select(F.col("entity_id").alias("s1_id")), t.select("entity_id"))
 
 
 # graph, sampling, further blocking

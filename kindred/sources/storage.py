@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -54,6 +55,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that have ended: it learns of them when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
