@@ -40,15 +40,16 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
-    """The rows of ``docs`` with ``text`` cut, and the columns n_lines and n_removed_lines added."""
+    """The rows of ``docs`` with ``text`` cut, and the columns n_lines and n_removed_lines added (in place of columns of these names)."""
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__lines": lines(F.col("text"))})
     windows = _windows(keyed.select("__doc", "__lines"), size)
     place = F.struct("doc", "at")
     first = windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("last > first")
     first = materialize(first.select("k1", "k2", "first"))
     later = windows.join(first, ["k1", "k2"]).where(place > F.col("first"))
-    marks = later.groupBy("doc").agg(F.collect_set("at").alias("__starts"))
-    joined = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(marks, F.col("__doc") == F.col("doc"), "left")
+    marks = later.groupBy(F.col("doc").alias("__marked")).agg(F.collect_set("at").alias("__starts"))
+    docs = docs.drop("n_lines", "n_removed_lines")
+    joined = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(marks, F.col("__doc") == F.col("__marked"), "left")
     joined = joined.withColumn("__lines", lines(F.col("text")))
     covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: s + k))))
     kept = F.when(F.col("__starts").isNotNull() & F.col("text").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered))
@@ -56,7 +57,7 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines"))
     cut = F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n")
     return joined.select(
-        *(F.coalesce(cut, F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns),
+        *(F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         n.cast("long").alias("n_lines"),
         F.when(F.col("__kept").isNull(), 0).otherwise(n - F.size("__kept")).cast("long").alias("n_removed_lines"),
     )

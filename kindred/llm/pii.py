@@ -229,7 +229,8 @@ _KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` with ``text`` changed, and the column ``replaced``: array of (kind, pseudonym) in the order of the text."""
+    """The rows of ``docs`` with ``text`` changed, and the column ``replaced`` (in place of one of this name): array of (kind, pseudonym) in the order of the text."""
+    docs = docs.drop("replaced")
 
     def replaced(m: Column) -> Column:
         """(kind, new): kind null and the value itself if it isn't valid."""
@@ -253,4 +254,4 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     put = F.array_join(F.flatten(F.transform("__parts", lambda p, i: F.array(p, F.coalesce(F.get("__found", i)["new"], F.lit(""))))), "")
     none = F.array().cast("array<struct<kind:string,new:string>>")
     done = F.coalesce(F.filter("__found", lambda x: x["kind"].isNotNull()), none)
-    return rows.select(*(F.coalesce(put, text).alias("text") if c == "text" else docs[c] for c in docs.columns), done.alias("replaced"))
+    return rows.select(*(F.coalesce(put, text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), done.alias("replaced"))
