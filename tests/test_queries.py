@@ -1,11 +1,13 @@
 """Every query of the library against DuckDB on the smallest tables, and the trained ones for sense."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from kindred.operators import metrics, model
 from kindred.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -42,8 +44,13 @@ def test_runs(spark, name):
 
 
 def test_models_learn(spark):
-    r = catalogue.queries()["gbt_oof_summary"](spark, DATA).first()
-    assert r.auc > 0.8
+    r = random.Random(5)
+    rows = [(f"s{i}", f"c{i}", r.random(), r.random()) for i in range(600)]
+    rows = [(*x, int(x[2] + 0.1 * x[3] > 0.6)) for x in rows]
+    pairs = model.group_folds(spark.createDataFrame(rows, "s1_id string, candidate_id string, x double, y double, label int"), k=2)
+    out, models = model.out_of_fold(pairs, ["x", "y"], 2, trees=5)
+    assert metrics.auc(out).first().auc > 0.95 and model.importances(models, ["x", "y"])[0][0] == "x"
+    assert model.predict_mean(models, pairs, ["x", "y"]).where("score > 0.5").count() > 100
     calibrated = catalogue.queries()["isotonic_calibrate"](spark, DATA).orderBy("score").collect()
     assert all(a.calibrated <= b.calibrated + 1e-9 for a, b in zip(calibrated, calibrated[1:], strict=False))
     assert catalogue.queries()["dense_cell_recall"](spark, DATA).first().recall >= 0.9
