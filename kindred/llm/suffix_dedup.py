@@ -12,7 +12,9 @@ three digits, and every pass drops what can't repeat, so that few suffixes reach
 3. The third digit, for suffixes of the runs left, is the full string. All but the first of a group repeat.
 
 Digits are compared by 64-bit polynomial hashes, always two of them that are independent (anchor and stretch, anchor and string).
-Rows of a digit are range-sorted by Spark and read as a stream, so a group is never gathered, however many rows it has.
+Rows of a digit are sorted by Spark and read as a stream, so a group is never gathered, however many rows it has. Before the shuffle
+rows are combined: of rows of one part of a task that agree, all but the first are known to repeat. They don't go to their
+group's task but are dealt by their place (with a negative number, as a mark), so text that repeats itself makes no hot task.
 
 "Earlier" is by (doc_id, start). Null text is empty. A null doc_id comes before all others. Where several rows have one doc_id and
 one text, none of them is earlier than the other; where they have different texts, their removed spans are united, so doc_id should name a text.
@@ -104,6 +106,21 @@ def _runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray,
     return grams[anchor[first]].view(np.int64), h.of(first, first + count - 1 + length).view(np.int64), first, count
 
 
+def _combined(rows: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """(anchor, digit, id, start, n) with n negative for rows that agree with an earlier one here."""
+    anchor, digit, ids, start, n = rows
+    both = anchor.view(np.uint64) * np.uint64(BASE) ^ digit.view(np.uint64)
+    order = np.lexsort((start, ids, both))
+    a, d, i, s = anchor[order], digit[order], ids[order], start[order]
+    same = np.r_[False, (a[1:] == a[:-1]) & (d[1:] == d[:-1])] if len(a) else np.empty(0, bool)
+    first = np.flatnonzero(~same)
+    lead = np.repeat(first, np.diff(np.r_[first, len(a)]))
+    known = same & ((i != i[lead]) | (s != s[lead]))
+    mark = np.ones(len(a), np.int32)
+    mark[order[known]] = -1
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, digit, ids, start, (n * mark).astype(np.int32))], names)
+
+
 def _anchors(length: int, part_bytes: int):
     def parts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
         """Texts, or overlapping parts of long ones, of about part_bytes bytes together: ids, places in the text, bytes."""
@@ -134,10 +151,7 @@ def _anchors(length: int, part_bytes: int):
                 anchor, stretch, first, count = _runs(joined, inside[: len(joined) - length + 1], length)
                 which = np.searchsorted(ends, first, side="right")
                 start = first - (ends - sizes)[which] + np.array(at)[which]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(stretch), pa.array(np.array(ids, np.int64)[which]), pa.array(start), pa.array(count.astype(np.int32))],
-                    ["anchor", "stretch", "id", "start", "n"],
-                )
+                yield _combined([anchor, stretch, np.array(ids, np.int64)[which], start, count], ["anchor", "digit", "id", "start", "n"])
 
     return batches
 
@@ -158,6 +172,13 @@ def _later(again: bool):
             if not b.num_rows:
                 continue
             rows = [b.column(i).to_numpy() for i in range(5)]
+            known = rows[4] < 0
+            if known.any():
+                rows[4] = np.abs(rows[4])
+                yield out(0, rows, np.flatnonzero(known))
+                rows = [x[~known] for x in rows]
+                if not len(rows[0]):
+                    continue
             if held is not None:
                 rows = [np.concatenate(p) for p in zip(held, rows, strict=True)]
             a, digit = rows[0], rows[1]
@@ -182,13 +203,15 @@ def _later(again: bool):
 
 def _strings(length: int, part_bytes: int):
     """Reads (id, text, runs); gives the hash of every suffix's string in the runs."""
+    names = ["anchor", "digit", "id", "start", "n"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        total = 0
         for b in it:
             for i, t, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 data = np.frombuffer(t.as_buffer(), np.uint8)
-                flat = runs.values.flatten()
-                anchor, start, n = (x.to_numpy() for x in flat)
+                anchor, start, n = (x.to_numpy() for x in runs.values.flatten())
                 order = np.argsort(start, kind="stable")
                 anchor, start, n = anchor[order], start[order], n[order]
                 for lo in range(0, len(data), part_bytes):  # runs that begin here; a run is no longer than a string
@@ -199,10 +222,13 @@ def _strings(length: int, part_bytes: int):
                     count = n[pick]
                     at = np.repeat(start[pick] - lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     digit = h.of(at, at + length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(anchor[pick], count)), pa.array(digit), pa.array(np.full(len(at), i)), pa.array(at + lo), pa.array(np.ones(len(at), np.int32))],
-                        ["anchor", "digit", "id", "start", "n"],
-                    )
+                    held.append([np.repeat(anchor[pick], count), digit, np.full(len(at), i), at + lo, np.ones(len(at), np.int32)])
+                    total += len(at)
+                    if total >= part_bytes:
+                        yield _combined([np.concatenate(x) for x in zip(*held, strict=True)], names)
+                        held, total = [], 0
+        if held:
+            yield _combined([np.concatenate(x) for x in zip(*held, strict=True)], names)
 
     return batches
 
@@ -250,10 +276,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, part_bytes: int = PART) -
     order = ["anchor", "digit", "id", "start"]
     found = "kind byte, anchor long, id long, start long, n int"
     anchors = text.mapInArrow(_anchors(length, part_bytes), rows)
-    second = materialize(anchors.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_later(True), found))
+    by = lambda *c: F.when(F.col("n") > 0, F.xxhash64(*c)).otherwise(F.xxhash64("id", "start"))
+    second = materialize(anchors.repartition(by("anchor")).sortWithinPartitions(*order).mapInArrow(_later(True), found))
     left = second.where("kind = 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
     strings = text.join(left, "id").select("id", "text", "runs").mapInArrow(_strings(length, part_bytes), rows)
-    third = materialize(strings.repartition("anchor", "digit").sortWithinPartitions(*order).mapInArrow(_later(False), found))
+    # not written: in one plan with the cut below, both read one exchange of the texts
+    third = strings.repartition(by("anchor", "digit")).sortWithinPartitions(*order).mapInArrow(_later(False), found)
     removed = second.where("kind = 0").select("id", "start", "n").union(third.select("id", "start", "n"))
     spans = removed.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     cut = text.join(spans, "id", "left").select("id", "text", "runs")
