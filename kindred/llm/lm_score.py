@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from kindred.sources.storage import materialize, ship
 
 VOCABULARY, HASHED, CLASSES, WINDOW, WIDTH = 4096, 512, 48, 2, 16
-MASK, ROUNDS, BATCH, RATE = 8, 2, 4096, 0.1
+MASK, ROUNDS, BATCH, RATE = 8, 2, 1024, 0.1
 #: Distinct words that a counting task holds before it gives them out.
 COUNTED = 200_000
-WORD = re.compile(r"[^\W_]+|[^\w\s]")
+WORD = re.compile(r"\w+|[^\w\s]")
+#: Shared tokens' words that a worker remembers.
+KNOWN = 300_000
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
 
@@ -40,7 +42,7 @@ class Tokens:
     """Ids: 0 outside of a text, 1 to V the vocabulary, then the hashed ones."""
 
     def __init__(self, counts: list[tuple[str, int]], rest: int):
-        self.ids = {w: i for i, (w, _) in enumerate(counts, 1)}
+        self.ids = _Ids((w, i) for i, (w, _) in enumerate(counts, 1))
         self.size = 1 + VOCABULARY + HASHED
         n = np.zeros(self.size)
         n[1 : len(counts) + 1] = [c for _, c in counts]
@@ -57,12 +59,18 @@ class Tokens:
         self.bias = np.log((total + 1e-9) / total.sum()).astype(np.float32)
 
     def read(self, text: str | None) -> np.ndarray:
-        known = self.ids
         words = WORD.findall((text or "").lower())
-        ids = np.array([known.get(w, 0) for w in words], np.int32)
-        for i in np.flatnonzero(ids == 0).tolist():
-            ids[i] = 1 + VOCABULARY + crc32(words[i].encode("utf-8", "surrogatepass")) % HASHED
-        return ids
+        return np.fromiter(map(self.ids.__getitem__, words), np.uint16, len(words))
+
+
+class _Ids(dict):
+    """Ids of the vocabulary; other words get theirs by a hash."""
+
+    def __missing__(self, word: str) -> int:
+        i = 1 + VOCABULARY + crc32(word.encode("utf-8", "surrogatepass")) % HASHED
+        if len(self) < KNOWN:
+            self[word] = i
+        return i
 
 
 class Network:
@@ -75,21 +83,28 @@ class Network:
             tables = rng.normal(0, 0.1, (len(OFFSETS), tokens.size, WIDTH)).astype(np.float32)
             arrays = [*tables, rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), tokens.bias.copy()]
         self.arrays = arrays
+        self.ones = np.ones(CLASSES, arrays[-2].dtype)
+
+    def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x = self.arrays[0].take(ids[at + OFFSETS[0]], 0)
+        for table, o in zip(self.arrays[1 : len(OFFSETS)], OFFSETS[1:], strict=True):
+            x += table.take(ids[at + o], 0)
+        return np.tanh(x, out=x)
 
     def forward(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden values and class log-probabilities. ids: padded with WINDOW zeros on either side; at: places in it."""
-        x = self.arrays[0][ids[at + OFFSETS[0]]]
-        for table, o in zip(self.arrays[1 : len(OFFSETS)], OFFSETS[1:], strict=True):
-            x += table[ids[at + o]]
-        hidden = np.tanh(x)
+        hidden = self._hidden(ids, at)
         logits = hidden @ self.arrays[-2] + self.arrays[-1]
         logits -= logits.max(1, keepdims=True)
         return hidden, logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
     def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        _, classes = self.forward(ids, at)
+        logits = self._hidden(ids, at) @ self.arrays[-2] + self.arrays[-1]
+        if np.abs(self.arrays[-2]).sum(0).max() + np.abs(self.arrays[-1]).max() > 80:  # hidden values are within 1
+            logits -= logits.max(1, keepdims=True)
         token = ids[at]
-        return classes[np.arange(len(at)), self.tokens.group[token]] + self.tokens.inside[token]
+        own = logits[np.arange(len(at)), self.tokens.group[token]]
+        return own - np.log(np.exp(logits) @ self.ones) + self.tokens.inside[token]
 
     def gradients(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
         """Of the mean negative log-probability: (rows, values) for each table, then class weights and biases."""
@@ -124,13 +139,13 @@ class Trainer:
             u[rows] += 1
 
 
-def _batches(tokens: Tokens, column: pa.Array, places: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts one after another with WINDOW zeros around each: ids, where each text begins, its number of tokens."""
-    pad = np.zeros(WINDOW, np.int32)
+def _batches(column: pa.Array, places: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Encoded texts one after another with WINDOW zeros around each: ids, where each text begins, its number of tokens."""
+    pad = np.zeros(WINDOW, np.uint16)
     held: list[np.ndarray] = []
     total = 0
     for t in column:
-        held.append(tokens.read(t.as_py()))
+        held.append(np.frombuffer(t.as_buffer(), np.uint16))
         total += len(held[-1])
         if total >= places:
             yield _joined(held, pad)
@@ -164,16 +179,16 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield given()
 
 
-def _train(sent, rate: float):
+def _train(sent, rate: float, mask: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = sent.value
         trainer, waiting, ids, n = Trainer(net, rate), [], [], 0
         begun = 0
         for b in it:
-            for padded, begin, size in _batches(net.tokens, b.column(0), 1 << 16):
+            for padded, begin, size in _batches(b.column(0), 1 << 16):
                 at = _places(begin, size)
                 inside = at - np.repeat(begin, size)
-                masked = at[(inside + np.repeat(size, size)) % MASK == MASK // 2]
+                masked = at[(inside + np.repeat(size, size)) % mask == mask // 2]
                 waiting.append(masked + begun)
                 ids.append(padded)
                 begun += len(padded)
@@ -201,20 +216,37 @@ def _mix(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sum": [total.tobytes()], "weight": [weight.tobytes()]})
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """The network for these documents."""
+def vocabulary(docs: DataFrame) -> Tokens:
+    """The tokens of these documents, from the counts of all their words."""
     ship(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    text = docs.select("text")
-    counts = materialize(text.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = materialize(docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    net = Network(Tokens(top, total - sum(n for _, n in top)))
+    return Tokens(top, total - sum(n for _, n in top))
+
+
+def encode(docs: DataFrame, tokens: Tokens) -> DataFrame:
+    """doc_id and ids (two bytes for each token) of each row, written once for all passes."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids = pa.array([sent.value.read(t.as_py()).tobytes() for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, ids binary"))
+
+
+def train(encoded: DataFrame, tokens: Tokens, rounds: int = ROUNDS, mask: int = MASK) -> Network:
+    """The network for encoded documents; one place in ``mask`` of each is trained on."""
+    context = encoded.sparkSession.sparkContext
+    net = Network(tokens)
     for r in range(rounds):
         sent = context.broadcast(net)
         kind = "part int, sum binary, weight binary"
         # salted: a mixture of at most some hundred sets first, then of the mixtures
-        parts = text.mapInArrow(_train(sent, RATE / (1 + r)), kind)
+        parts = encoded.select("ids").mapInArrow(_train(sent, RATE / (1 + r), mask), kind)
         some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
         first = some.groupBy("part", "salt").applyInArrow(_mix_float, kind)
         mixed = first.groupBy("part").applyInArrow(_mix, kind).collect()
@@ -235,18 +267,17 @@ def _mix_float(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"part": out["part"], "sum": as32("sum"), "weight": as32("weight")})
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, n_tokens, score (sum of ln p) and mean_score of each row."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+def score(encoded: DataFrame, net: Network) -> DataFrame:
+    """doc_id, n_tokens, score (sum of ln p) and mean_score of each encoded row."""
+    sent = encoded.sparkSession.sparkContext.broadcast(net)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = sent.value
         for b in it:
             sums, sizes = [], []
-            for padded, begin, size in _batches(net.tokens, b.column(1), 1 << 14):
+            for padded, begin, size in _batches(b.column(1), 1 << 14):
                 at = _places(begin, size)
-                log_p = np.concatenate([net.log_p(padded, at[lo : lo + (1 << 14)]).astype(np.float64) for lo in range(0, len(at), 1 << 14)] or [np.empty(0)])
+                log_p = np.concatenate([net.log_p(padded, at[lo : lo + 4096]).astype(np.float64) for lo in range(0, len(at), 4096)] or [np.empty(0)])
                 ends = np.r_[0.0, np.cumsum(log_p)]
                 last = np.cumsum(size)
                 sums.append(ends[last] - ends[last - size])
@@ -254,5 +285,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             n, s = (np.concatenate(x) if x else np.empty(0) for x in (sizes, sums))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(s.astype(np.float64))], ["doc_id", "n_tokens", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, n_tokens long, score double")
+    out = encoded.mapInArrow(batches, "doc_id long, n_tokens long, score double")
     return out.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
+
+
+def fit_score(docs: DataFrame) -> DataFrame:
+    """The scores of documents under the network that is trained on them."""
+    tokens = vocabulary(docs)
+    encoded = encode(docs, tokens)
+    return score(encoded, train(encoded, tokens))

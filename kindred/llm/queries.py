@@ -14,8 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs))
+    return lm_score.fit_score(_table(spark, sf_dir, "documents"))
 
 
 #: The key of op2's pseudonyms; a real one would come from a secret store.

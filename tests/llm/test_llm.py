@@ -404,18 +404,20 @@ def test_language_model(spark, empty):
     nouns, verbs = ["cat", "dog", "bird", "fish"], ["sees", "likes", "hears"]
     texts = [" ".join(f"the {r.choice(nouns)} {r.choice(verbs)} a {r.choice(nouns)} ." for _ in range(30)) for _ in range(120)]
     df = docs(spark, texts, clash=True)
-    net = lm_score.train(df, rounds=4, mask=1)
+    tokens = lm_score.vocabulary(df)
+    net = lm_score.train(lm_score.encode(df, tokens), tokens, rounds=4, mask=1)
+    scores = lambda d, n: lm_score.score(lm_score.encode(d, tokens), n).collect()
     held = [" ".join(f"the {r.choice(nouns)} {r.choice(verbs)} a {r.choice(nouns)} ." for _ in range(30)) for _ in range(10)]
     mixed = [" ".join(r.sample(t.split(), len(t.split()))) for t in held]
-    rows = {x.doc_id: x for x in lm_score.score(docs(spark, [*held, *mixed, None, "", "zzz unseen"]), net).collect()}
+    rows = {x.doc_id: x for x in scores(docs(spark, [*held, *mixed, None, "", "zzz unseen"], clash=True), net)}
     mean = lambda lo, hi: sum(rows[i].score for i in range(lo, hi)) / sum(rows[i].n_tokens for i in range(lo, hi))
     unigram = lm_score.Network(net.tokens, [a * 0 for a in net.arrays[:-1]] + [net.tokens.bias])
-    plain = [x.score / x.n_tokens for x in lm_score.score(docs(spark, held), unigram).collect()]
+    plain = [x.score / x.n_tokens for x in scores(docs(spark, held), unigram)]
     assert mean(0, 10) > mean(10, 20) + 0.5 and mean(0, 10) > sum(plain) / 10 + 0.5
     assert (rows[20].n_tokens, rows[20].score, rows[20].mean_score) == (0, 0, None) and rows[22].n_tokens == 2 and rows[22].score < 0
-    again = lm_score.train(df, rounds=4, mask=1)
+    again = lm_score.train(lm_score.encode(df, tokens), tokens, rounds=4, mask=1)
     assert all(np.allclose(a, b) for a, b in zip(net.arrays, again.arrays, strict=True))
-    assert lm_score.score(empty, lm_score.train(empty)).count() == 0
+    assert lm_score.fit_score(empty).count() == 0
 
 
 def test_gradients():
