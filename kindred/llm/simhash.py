@@ -39,16 +39,23 @@ CAP = 4096
 LEVELS = 4
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The fingerprint of one text: A-Z lowered, words between ASCII white space."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text: A-Z lowered, words between ASCII white space; shorter texts are one shingle."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The fingerprint of one text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts, n = np.zeros(64, np.int64), 0
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
         n += len(part)

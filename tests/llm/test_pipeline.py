@@ -41,6 +41,45 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["packing"])
 
 
+def test_edited_copies(spark):
+    """Copies at a shingle similarity of 0.8 to 0.95 go; one just under 0.8 stays. By brute force over all pairs."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts = {}
+    for i in range(120):
+        texts[i] = " ".join(word() for _ in range(r.choice([30, 80, 300])))
+        w = texts[i].split()
+        for _ in range(max(1, round(len(w) * r.uniform(0.004, 0.025)))):
+            w[r.randrange(len(w))] = word()
+        texts[1000 + i] = " ".join(w)
+    base = [word() for _ in range(200)]
+    for i in range(150):  # a large group: more pairs than the first round gives
+        texts[2000 + i] = " ".join([*base[: r.randrange(160, 201)], word()])
+    sets = {i: grams(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    levels = []
+    for i in texts:
+        for j in texts:
+            if i < j and len(both := sets[i] & sets[j]):
+                similarity = len(both) / len(sets[i] | sets[j])
+                if i < 1000 and similarity >= 0.8:
+                    levels.append(similarity)
+                if similarity >= 0.8:
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    assert sum(x < 0.85 for x in levels) >= 10 and sum(0.85 <= x < 0.95 for x in levels) >= 10 and len(levels) < 115
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], schema).repartition(3)
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {find(i) for i in texts}
+
+
 def test_queries_registered():
     import __spark_entry__ as e
 
