@@ -5,8 +5,8 @@ shared tokens. The network sees ``WINDOW`` tokens on either side of a masked pla
 them up, takes tanh, and predicts the token in two steps: its class (softmax over ``CLASSES`` classes of about equal frequency), then
 the token within the class (by frequency). A document's score is the sum of ln p(token | both sides) over all its places.
 
-Counts come from all documents. Training masks one place in ``MASK`` of every document (a rule on its position), so it too grows with the
-corpus: each partition runs Adagrad on its places from the common parameters and sends what it reached; parameters are averaged with the number
+Counts come from all documents. Each round masks one place in ``MASK`` of every document (a rule on its position and the round), other ones in each of MASK rounds,
+so every place of the corpus is a target: each partition runs Adagrad on its places from the common parameters and sends what it reached; parameters are averaged with the number
 of updates that each row had as weight (iterative parameter mixing), for ``ROUNDS`` rounds. What the driver holds is the vocabulary and one set of
 parameters, bounded by the constants here, and so is what is sent to the executors. Sums are taken in a fixed order and a partition's
 result depends on its rows only, so a recomputed task gives the same.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kindred.sources.storage import materialize, ship
 
 VOCABULARY, HASHED, CLASSES, WINDOW, WIDTH = 4096, 512, 48, 2, 16
-MASK, ROUNDS, BATCH, RATE = 8, 2, 1024, 0.1
+MASK, ROUNDS, BATCH, RATE = 2, 2, 1024, 0.1
 #: Distinct words that a counting task holds before it gives them out.
 COUNTED = 200_000
 WORD = re.compile(r"\w+|[^\w\s]")
@@ -164,6 +164,13 @@ def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _targets(begin: np.ndarray, size: np.ndarray, mask: int, turn: int) -> np.ndarray:
+    """The places masked in a round; those of ``mask`` rounds in a row are all places."""
+    at = _places(begin, size)
+    inside = at - np.repeat(begin, size)
+    return at[(inside + np.repeat(size, size)) % mask == (mask // 2 + turn) % mask]
+
+
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
 
@@ -179,16 +186,14 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield given()
 
 
-def _train(sent, rate: float, mask: int):
+def _train(sent, rate: float, mask: int, turn: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = sent.value
         trainer, waiting, ids, n = Trainer(net, rate), [], [], 0
         begun = 0
         for b in it:
             for padded, begin, size in _batches(b.column(0), 1 << 16):
-                at = _places(begin, size)
-                inside = at - np.repeat(begin, size)
-                masked = at[(inside + np.repeat(size, size)) % mask == mask // 2]
+                masked = _targets(begin, size, mask, turn)
                 waiting.append(masked + begun)
                 ids.append(padded)
                 begun += len(padded)
@@ -239,14 +244,14 @@ def encode(docs: DataFrame, tokens: Tokens) -> DataFrame:
 
 
 def train(encoded: DataFrame, tokens: Tokens, rounds: int = ROUNDS, mask: int = MASK) -> Network:
-    """The network for encoded documents; one place in ``mask`` of each is trained on."""
+    """The network for encoded documents; one place in ``mask`` of each is trained on in a round."""
     context = encoded.sparkSession.sparkContext
     net = Network(tokens)
     for r in range(rounds):
         sent = context.broadcast(net)
         kind = "part int, sum binary, weight binary"
         # salted: a mixture of at most some hundred sets first, then of the mixtures
-        parts = encoded.select("ids").mapInArrow(_train(sent, RATE / (1 + r), mask), kind)
+        parts = encoded.select("ids").mapInArrow(_train(sent, RATE / (1 + r), mask, r), kind)
         some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
         first = some.groupBy("part", "salt").applyInArrow(_mix_float, kind)
         mixed = first.groupBy("part").applyInArrow(_mix, kind).collect()

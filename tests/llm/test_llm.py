@@ -420,6 +420,21 @@ def test_language_model(spark, empty):
     assert lm_score.fit_score(empty).count() == 0
 
 
+def test_every_place_is_a_target(spark):
+    size = np.array([1, 2, 0, 3, 17])
+    begin = np.cumsum(np.r_[0, size[:-1] + lm_score.WINDOW]) + lm_score.WINDOW
+    seen = np.concatenate([lm_score._targets(begin, size, lm_score.MASK, r) for r in range(lm_score.ROUNDS)])
+    assert sorted(seen.tolist()) == lm_score._places(begin, size).tolist()
+    r = random.Random(31)
+    df = docs(spark, [" ".join(r.choice(["a b c .", "d e f ."]) for _ in range(60)) for _ in range(100)])
+    tokens = lm_score.vocabulary(df)
+    encoded = lm_score.encode(df, tokens)
+    mean = lambda net: lm_score.score(encoded, net).agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    plain = lm_score.Network(tokens)
+    plain.arrays = [a * 0 for a in plain.arrays[:-1]] + [tokens.bias]
+    assert mean(lm_score.train(encoded, tokens)) > mean(plain) + 0.5
+
+
 def test_gradients():
     tokens = lm_score.Tokens([("a", 9), ("b", 5), ("c", 2)], 4)
     net = lm_score.Network(tokens)
