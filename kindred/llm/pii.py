@@ -28,6 +28,12 @@ ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK = 16
 
+#: Values of fixed form that a number before them must not run into.
+NEXT = r"(?!\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)|\d{4}-\d{2}-\d{2}(?![\d/-])|\d{1,2}/\d{1,2}/\d{4}(?!\d)|\d{1,2}\.\d{1,2}\.\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?![\d-])|\d{13,19}(?!\d)|\d{4}([ -])\d{4}[ -]\d{4}[ -]\d{4}(?!\d))".replace("([ -])", "[ -]")
+_STEP = rf"\d(?:[.-]| {NEXT})?"
+#: Phone numbers of one group in brackets, by the digits before it and in it, so that all have 8 to 15.
+_BRACKETS = [rf"(?:{_STEP}){{{i}}}\(\d{{{k}}}\)(?:[.-]| {NEXT})?(?:{_STEP}){{{max(0, 7 - i - k)},{14 - i - k}}}\d(?!\d)" for i in range(7) for k in range(1, 5)]
+
 #: What each kind looks like, in order of precedence.
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
@@ -36,8 +42,8 @@ SHAPES = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\d+])\+?(?:\d[ .-]?|\(\d{1,4}\)[ .-]?){7,14}\d(?!\d)",
+    "card": rf"(?<![\d-])(?:\d{{13,19}}(?![\d-])|\d(?:(?:-| {NEXT})?\d){{12,18}}(?![\d-]))",
+    "phone": rf"(?<![\d+])\+?(?:{'|'.join(_BRACKETS)}|(?:{_STEP}|\(\d{{1,4}}\)(?:[.-]| {NEXT})?){{7,14}}\d(?!\d))",
 }
 PATTERN = "|".join(f"(?:{s})" for s in SHAPES.values())
 
@@ -210,10 +216,17 @@ def _ip(m: Column, key: str) -> Column:
 def _card(m: Column, key: str) -> Column:
     def done(d: Column) -> Column:
         payload = permute_characters(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-        with_check = let(payload, lambda p: F.concat(p, ((10 - _luhn(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(_luhn(d) % 10 == 0, let(with_check, lambda x: _refill(m, "[0-9]", x)))
+        return let(payload, lambda p: F.concat(p, ((10 - _luhn(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
 
-    return let(_digits(m), done)
+    def longest(d: Column) -> Column:
+        """The digits that are the card's: all, or the first 16 if only they fit and a separator follows them."""
+        parted = m.rlike(r"^\d(?:[ -]?\d){15}[ -]")
+        return F.when(_luhn(d) % 10 == 0, d).when(parted & (_luhn(F.substring(d, 1, 16)) % 10 == 0), F.substring(d, 1, 16))
+
+    def filled(own: Column) -> Column:
+        return F.when(own.isNotNull(), _refill(m, "[0-9]", F.concat(done(own), F.substring(_digits(m), F.length(own) + 1, F.length(m)))))
+
+    return let(let(_digits(m), longest), filled)
 
 
 def _phone(m: Column, key: str) -> Column:

@@ -316,6 +316,18 @@ def test_pii(spark, empty):
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_pii_adjacent(spark):
+    values = {"phone": "+1 (826) 555-4081", "ip": "190.137.223.204", "card": "4041894974608795", "date": "2024-02-29", "ssn": "123-45-6789", "email": "bob@mail7.example.com"}
+    pairs = [(a, b) for a in values for b in values]
+    texts = [f"{values[a]} {values[b]}" for a, b in pairs] + ["card 4041894974608795 123 end", "card 4041 8949 7460 8795 123 end", "4041 8949 7460 8795 190.137.223.204"]
+    out = {r.doc_id: r for r in pii.pseudonymise(docs(spark, texts), "key").collect()}
+    wrong = [(p, out[i].text, out[i].replaced) for i, p in enumerate(pairs) if [x.kind for x in out[i].replaced] != list(p) or any(values[k] in out[i].text for k in p)]
+    assert not wrong
+    n = len(pairs)
+    assert [[x.kind for x in out[n + i].replaced] for i in range(3)] == [["card"], ["card"], ["card", "ip"]]
+    assert all(out[n + i].text.endswith(" 123 end") for i in range(2))
+
+
 def test_feistel_permutes(spark):
     df = spark.range(189 * 7).select(pii.feistel(F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(189), F.lit(7), "k", "t").alias("x"))
     got = {(r.x.l, r.x.r) for r in df.collect()}
