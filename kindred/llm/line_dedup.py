@@ -7,8 +7,9 @@ lines that a later one covers go. Overlapping windows cover whole repeated block
 Counts and first places are aggregated before the shuffle. A window that very many documents have is one row in the table of repeated
 windows; its occurrences meet that row in a join that adaptive execution splits. Nothing is gathered but a document's own lines.
 
-Null text has no lines and stays null. A text whose lines all go becomes empty; rows are never dropped. Rows that repeat a doc_id
-with the same text get the same result, none is earlier than the other. A null doc_id comes before all others.
+Null text has no lines and stays null. A text whose lines all go becomes empty; rows are never dropped. A row is known by its doc_id and a hash
+of its text: texts under one doc_id, or without one, are documents of their own, earlier or later than each other by that hash, so each
+window stays once among them. Rows that repeat both doc_id and text get the same result, none is earlier than the other. A null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 from kindred.llm.texts import BLANKS, lines, without
 from kindred.sources.storage import materialize
 
-NULL_ID = -(2**63)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of its rows (null ids have a flag, so no real id meets them) and its lines."""
+    doc = F.struct(F.col("doc_id").isNotNull().alias("named"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("tag"))
+    return docs.withColumns({"__doc": doc, "__lines": lines(F.col("text"))})
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
@@ -41,15 +45,15 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """The rows of ``docs`` with ``text`` cut, and the columns n_lines and n_removed_lines added (in place of columns of these names)."""
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__lines": lines(F.col("text"))})
-    windows = _windows(keyed.select("__doc", "__lines"), size)
+    windows = _windows(_keyed(docs).select("__doc", "__lines"), size)
     place = F.struct("doc", "at")
     first = windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("last > first")
     first = materialize(first.select("k1", "k2", "first"))
     later = windows.join(first, ["k1", "k2"]).where(place > F.col("first"))
     marks = later.groupBy(F.col("doc").alias("__marked")).agg(F.collect_set("at").alias("__starts"))
     docs = docs.drop("n_lines", "n_removed_lines")
-    joined = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(marks, F.col("__doc") == F.col("__marked"), "left")
+    # the lines are split again after the join, so they aren't sent
+    joined = _keyed(docs).drop("__lines").join(marks, F.col("__doc") == F.col("__marked"), "left")
     joined = joined.withColumn("__lines", lines(F.col("text")))
     covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: s + k))))
     kept = F.when(F.col("__starts").isNotNull() & F.col("text").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered))

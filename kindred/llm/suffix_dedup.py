@@ -16,8 +16,10 @@ Rows of a digit are sorted by Spark and read as a stream, so a group is never ga
 rows are combined: of rows of one part of a task that agree, all but the first are known to repeat. They don't go to their
 group's task but are dealt by their place (with a negative number, as a mark), so text that repeats itself makes no hot task.
 
-"Earlier" is by (doc_id, start). Null text is empty. A null doc_id comes before all others. Where several rows have one doc_id and
-one text, none of them is earlier than the other; where they have different texts, their removed spans are united, so doc_id should name a text.
+"Earlier" is by (doc_id, start). Null text is empty. A null doc_id comes before all others. A row is known by its doc_id and a tag, which is a
+hash of the text where doc_ids are null or name several texts, and else 0 (ids share tags by buckets, so what is sent for it is bounded). So texts under
+one doc_id are documents of their own, each earlier or later than the others by its tag, and no span of one is cut from another. Rows that repeat
+both doc_id and text have equal results; none of them is earlier than the other. Every row gives one row. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ PART = 1 << 18
 #: Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(2**63)
+#: Buckets of doc_ids that share whether tags are needed.
+BUCKETS = 1 << 16
+
+ROW = ["anchor", "digit", "id", "tag", "start", "n"]
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -106,42 +112,42 @@ def _runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray,
     return grams[anchor[first]].view(np.int64), h.of(first, first + count - 1 + length).view(np.int64), first, count
 
 
-def _combined(rows: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """(anchor, digit, id, start, n) with n negative for rows that agree with an earlier one here."""
-    anchor, digit, ids, start, n = rows
+def _combined(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """(anchor, digit, id, tag, start, n) with n negative (and no digits) for rows that agree with an earlier one here."""
+    anchor, digit, ids, tag, start, n = rows
     both = anchor.view(np.uint64) * np.uint64(BASE) ^ digit.view(np.uint64)
-    order = np.lexsort((start, ids, both))
-    a, d, i, s = anchor[order], digit[order], ids[order], start[order]
+    order = np.lexsort((start, tag, ids, both))
+    a, d, i, t, s = anchor[order], digit[order], ids[order], tag[order], start[order]
     same = np.r_[False, (a[1:] == a[:-1]) & (d[1:] == d[:-1])] if len(a) else np.empty(0, bool)
     first = np.flatnonzero(~same)
     lead = np.repeat(first, np.diff(np.r_[first, len(a)]))
-    known = same & ((i != i[lead]) | (s != s[lead]))
-    mark = np.ones(len(a), np.int32)
-    mark[order[known]] = -1
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, digit, ids, start, (n * mark).astype(np.int32))], names)
+    known = order[same & ((i != i[lead]) | (t != t[lead]) | (s != s[lead]))]
+    anchor, digit, n = anchor.copy(), digit.copy(), n.astype(np.int32)
+    anchor[known] = digit[known] = 0
+    n[known] *= -1
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, digit, ids, tag, start, n)], ROW)
 
 
 def _anchors(length: int, part_bytes: int):
-    def parts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-        """Texts, or overlapping parts of long ones, of about part_bytes bytes together: ids, places in the text, bytes."""
-        ids, at, data, total = [], [], [], 0
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+    def parts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
+        """Texts, or overlapping parts of long ones, of about part_bytes bytes together: ids, tags, places in the text, bytes."""
+        held, total = ([], [], [], []), 0
+        for i, tag, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             t = t.as_buffer()
             for start in range(0, max(len(t) - length + 1, 0), part_bytes):
                 part = t[start : start + part_bytes + length - 1]
-                ids.append(i)
-                at.append(start)
-                data.append(part)
+                for x, v in zip(held, (i, tag, start, part), strict=True):
+                    x.append(v)
                 total += len(part)
                 if total >= part_bytes:
-                    yield ids, at, data
-                    ids, at, data, total = [], [], [], 0
-        if data:
-            yield ids, at, data
+                    yield held
+                    held, total = ([], [], [], []), 0
+        if total:
+            yield held
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for ids, at, data in parts(b):
+            for ids, tags, at, data in parts(b):
                 sizes = np.array([len(x) for x in data])
                 ends = np.cumsum(sizes)
                 joined = np.frombuffer(b"".join(data), np.uint8)
@@ -151,19 +157,19 @@ def _anchors(length: int, part_bytes: int):
                 anchor, stretch, first, count = _runs(joined, inside[: len(joined) - length + 1], length)
                 which = np.searchsorted(ends, first, side="right")
                 start = first - (ends - sizes)[which] + np.array(at)[which]
-                yield _combined([anchor, stretch, np.array(ids, np.int64)[which], start, count], ["anchor", "digit", "id", "start", "n"])
+                yield _combined([anchor, stretch, np.array(ids, np.int64)[which], np.array(tags, np.int64)[which], start, count])
 
     return batches
 
 
 def _later(again: bool):
-    """Reads (anchor, digit, id, start, n) in this order. Gives kind 0: runs that an earlier row has too; if ``again``, kind 1: first rows
+    """Reads (anchor, digit, id, tag, start, n) in this order. Gives kind 0: runs that an earlier row has too; if ``again``, kind 1: first rows
     of their digit in a group with several digits."""
-    schema = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
 
     def out(kind: int, rows: list[np.ndarray], pick: np.ndarray) -> pa.RecordBatch:
         k = np.full(len(pick), kind, np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, rows[0][pick], *(x[pick] for x in rows[2:]))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, rows[0][pick] * kind, *(x[pick] for x in rows[2:]))], schema=schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last first row seen, and whether it is given out
@@ -171,10 +177,10 @@ def _later(again: bool):
         for b in it:
             if not b.num_rows:
                 continue
-            rows = [b.column(i).to_numpy() for i in range(5)]
-            known = rows[4] < 0
+            rows = [b.column(i).to_numpy() for i in range(6)]
+            known = rows[5] < 0
             if known.any():
-                rows[4] = np.abs(rows[4])
+                rows[5] = np.abs(rows[5])
                 yield out(0, rows, np.flatnonzero(known))
                 rows = [x[~known] for x in rows]
                 if not len(rows[0]):
@@ -185,7 +191,7 @@ def _later(again: bool):
             same = (a[1:] == a[:-1]) & (digit[1:] == digit[:-1])
             first = np.flatnonzero(np.r_[True, ~same])
             lead = np.repeat(first, np.diff(np.r_[first, len(a)]))
-            later = np.flatnonzero((rows[2] != rows[2][lead]) | (rows[3] != rows[3][lead]))
+            later = np.flatnonzero((rows[2] != rows[2][lead]) | (rows[3] != rows[3][lead]) | (rows[4] != rows[4][lead]))
             if len(later):
                 yield out(0, rows, later)
             if again:
@@ -202,14 +208,13 @@ def _later(again: bool):
 
 
 def _strings(length: int, part_bytes: int):
-    """Reads (id, text, runs); gives the hash of every suffix's string in the runs."""
-    names = ["anchor", "digit", "id", "start", "n"]
+    """Reads (id, tag, text, runs); gives the hash of every suffix's string in the runs."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         total = 0
         for b in it:
-            for i, t, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for i, tag, t, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 data = np.frombuffer(t.as_buffer(), np.uint8)
                 anchor, start, n = (x.to_numpy() for x in runs.values.flatten())
                 order = np.argsort(start, kind="stable")
@@ -222,13 +227,13 @@ def _strings(length: int, part_bytes: int):
                     count = n[pick]
                     at = np.repeat(start[pick] - lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     digit = h.of(at, at + length).view(np.int64)
-                    held.append([np.repeat(anchor[pick], count), digit, np.full(len(at), i), at + lo, np.ones(len(at), np.int32)])
+                    held.append([np.repeat(anchor[pick], count), digit, np.full(len(at), i), np.full(len(at), tag), at + lo, np.ones(len(at), np.int32)])
                     total += len(at)
                     if total >= part_bytes:
-                        yield _combined([np.concatenate(x) for x in zip(*held, strict=True)], names)
+                        yield _combined([np.concatenate(x) for x in zip(*held, strict=True)])
                         held, total = [], 0
         if held:
-            yield _combined([np.concatenate(x) for x in zip(*held, strict=True)], names)
+            yield _combined([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return batches
 
@@ -257,7 +262,7 @@ def _cut(length: int):
             spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in out[2]], spans_type), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())],
-                ["id", "n_bytes", "spans", "n_removed", "kept_sha256"],
+                ["doc_id", "n_bytes", "spans", "n_removed", "kept_sha256"],
             )
 
     return batches
@@ -271,19 +276,31 @@ def repeated_spans(docs: DataFrame, length: int = 100, part_bytes: int = PART) -
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     ship(docs.sparkSession)
-    rows = "anchor long, digit long, id long, start long, n int"
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    order = ["anchor", "digit", "id", "start"]
-    found = "kind byte, anchor long, id long, start long, n int"
-    anchors = text.mapInArrow(_anchors(length, part_bytes), rows)
-    by = lambda *c: F.when(F.col("n") > 0, F.xxhash64(*c)).otherwise(F.xxhash64("id", "start"))
+    rows = "anchor long, digit long, id long, tag long, start long, n int"
+    found = "kind byte, anchor long, id long, tag long, start long, n int"
+    text = _tagged(docs)
+    order = ["anchor", "digit", "id", "tag", "start"]
+    anchors = text.select("id", "tag", "text").mapInArrow(_anchors(length, part_bytes), rows)
+    by = lambda *c: F.when(F.col("n") > 0, F.xxhash64(*c)).otherwise(F.xxhash64("id", "tag", "start"))
     second = materialize(anchors.repartition(by("anchor")).sortWithinPartitions(*order).mapInArrow(_later(True), found))
-    left = second.where("kind = 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
-    strings = text.join(left, "id").select("id", "text", "runs").mapInArrow(_strings(length, part_bytes), rows)
+    left = second.where("kind = 1").groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
+    strings = text.join(left, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_strings(length, part_bytes), rows)
     # not written: in one plan with the cut below, both read one exchange of the texts
     third = strings.repartition(by("anchor", "digit")).sortWithinPartitions(*order).mapInArrow(_later(False), found)
-    removed = second.where("kind = 0").select("id", "start", "n").union(third.select("id", "start", "n"))
-    spans = removed.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    cut = text.join(spans, "id", "left").select("id", "text", "runs")
-    out = cut.mapInArrow(_cut(length), "id long, n_bytes long, spans array<struct<start:long,end:long>>, n_removed long, kept_sha256 string")
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "spans", "n_removed", "kept_sha256")
+    removed = second.where("kind = 0").select("id", "tag", "start", "n").union(third.select("id", "tag", "start", "n"))
+    spans = removed.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    cut = text.join(spans, ["id", "tag"], "left").select("doc_id", "text", "runs")
+    return cut.mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, n_removed long, kept_sha256 string")
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text (bytes), and the key (id, tag) of each row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    hashed = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    several = hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    odd = materialize(several.select(bucket.alias("odd")).distinct())  # BUCKETS rows at most
+    marked = rows.join(F.broadcast(odd), bucket == F.col("odd"), "left")
+    tag = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(1), "text")).when(F.col("odd").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return marked.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), tag.alias("tag"))

@@ -156,6 +156,30 @@ def test_suffix_dedup_odd_rows(spark, empty):
         suffix_dedup.repeated_spans(empty, 20)
 
 
+def shared_ids(pieces, sep):
+    """Rows (id, text) with null ids and ids that name several texts; pieces repeat among them."""
+    r = random.Random(77)
+    rows = [(r.choice([None, None, 3, 4, 5 + i]), sep.join(r.choice(pieces) for _ in range(r.randint(1, 6)))) for i in range(40)]
+    return [*rows, rows[0], rows[1], (-(2**63), rows[2][1]), (2**63 - 1, rows[3][1]), (None, None), (None, ""), (9, "one\ntwo"), (9, None)]
+
+
+@pytest.mark.parametrize("part", [200, 1 << 18])
+def test_suffix_dedup_shared_ids(spark, part):
+    """Which of the texts under one id is earlier is free, so: each string of the input is left or repeated whole, and the first of any stays."""
+    r = random.Random(5)
+    pieces = ["".join(r.choice("abcdef ") for _ in range(r.randint(40, 220))) for _ in range(14)]
+    rows = shared_ids(pieces, "")
+    texts = suffix_dedup._tagged(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # the order that the tags give, as one text for each number
+    keys = sorted({(x.id, x.tag) for x in texts})
+    by = {(x.id, x.tag): bytes(x.text).decode() for x in texts}
+    assert len(keys) == len({(i, t or "") for i, t in rows})
+    want = brute_spans({n: by[k] for n, k in enumerate(keys)}, 100)
+    expected = collections.Counter((x.doc_id, *want[keys.index((x.id, x.tag))]) for x in texts)
+    got = collections.Counter((x.doc_id, x.n_bytes, x.n_removed, len(x.spans), x.kept_sha256) for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), 100, part).collect())
+    assert got == expected and sum(got.values()) == len(rows)
+
+
 # 6 packing
 
 
@@ -286,6 +310,21 @@ def test_lines(spark, empty):
     assert sorted((-1 if x.doc_id is None else 1, x.text) for x in twice) == [(-1, "p\nq\nr"), (1, ""), (1, "")]
 
 
+def test_lines_shared_ids(spark):
+    r = random.Random(15)
+    rows = shared_ids(["\n".join(r.choice("abcdefgh") * 3 for _ in range(r.randint(1, 4))) for _ in range(12)], "\n")
+    rows += [(None, "k\na\nb\nc"), (None, "a\nb\nc\nd"), (None, "p\nq\nr\ns\nt"), (9, "u\nv\nw\nz"), (9, "1\n2\n3\n4"), (7, "u\nv\nw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = line_dedup._keyed(df).select("__doc", "text").distinct().collect()
+    keys = sorted(tuple(x["__doc"]) for x in keyed)
+    by = {tuple(x["__doc"]): x.text for x in keyed}
+    want = brute_lines({n: by[k] for n, k in enumerate(keys)})
+    expected = collections.Counter((i, want[keys.index(tuple(k))]) for i, k in ((x.doc_id, x["__doc"]) for x in line_dedup._keyed(df).collect()))
+    got = collections.Counter((x.doc_id, x.text) for x in line_dedup.dedup_lines(df).collect())
+    assert got == expected and sum(got.values()) == len(rows)
+    assert got[None, "p\nq\nr\ns\nt"] == 1 and got[9, "1\n2\n3\n4"] == 1 and got[9, "z"] == 1
+
+
 # 2 PII
 
 
