@@ -1,17 +1,19 @@
 """Removal of repeated byte strings by a depth-limited most-significant-digit radix sort of suffixes.
 
 Suffixes are told apart by their first ``length`` bytes only; suffixes that agree on them form one group,
-and a group is exactly the set of places where one ``length``-byte string stands. The sort runs in passes over
-three digits, and every pass drops what can't repeat, so that few suffixes reach the last one:
+and a group is exactly the set of places where one ``length``-byte string stands. The sort runs in passes, each over a longer
+digit, and every pass drops what can't repeat, so that few suffixes reach the last one:
 
 1. The first digit of a suffix is its anchor: the ``GRAM``-byte string with the smallest hash in the suffix's first
    ``length`` bytes (leftmost of equals). Equal strings have equal anchors at equal distances. Neighbouring suffixes
    share their anchor, so a run of them with one anchor is one row. Groups of one row end here.
 2. The second digit is the whole stretch that the run's suffixes cover. In a group of equal stretches all but the first
    repeat, suffix by suffix; only the first goes on, and only if other stretches have the same anchor.
-3. The third digit, for suffixes of the runs left, is the full string. All but the first of a group repeat.
+3. The runs left are cut into CLASSES by the anchor's distance from the suffix. The digit is now the string that all suffixes of a class have in
+   common, and equal stretches of a class are treated as in the second pass.
+4. For suffixes of the classes left the digit is the full string. All but the first of a group repeat.
 
-Digits are compared by 64-bit polynomial hashes, always two of them that are independent (anchor and stretch, anchor and string).
+Digits are compared by 64-bit polynomial hashes, always two of them that are independent (anchor and stretch, common string and string).
 Rows of a digit are sorted by Spark and read as a stream, so a group is never gathered, however many rows it has. Before the shuffle
 rows are combined: of rows of one part of a task that agree, all but the first are known to repeat. They don't go to their
 group's task but are dealt by their place (with a negative number, as a mark), so text that repeats itself makes no hot task.
@@ -29,14 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.sources.storage import materialize, ship
+from kindred.sources.storage import materialize, release, ship
 
 GRAM = 36
+#: Parts of a run in the third pass.
+CLASSES = 4
+#: A row's n holds the number of its suffixes in the low bits, and in pass 1 the anchor's distance from the first above them.
+LOW = 15
 #: Bytes that are hashed at once; longer texts are read in overlapping parts.
-PART = 1 << 18
+PART = 1 << 19
 #: Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(2**63)
@@ -100,7 +106,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of suffixes with one anchor: anchor hash, stretch hash, first suffix, number. valid: suffixes that count."""
+    """Runs of suffixes with one anchor: anchor hash, stretch hash, first suffix, n (number and distance of the anchor). valid: suffixes that count."""
     h = _Hashes(data)
     grams = h.all(GRAM)
     low = np.uint64((1 << 20) - 1)
@@ -109,7 +115,7 @@ def _runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(anchor)])
     first, count = first[valid[first]], count[valid[first]]
-    return grams[anchor[first]].view(np.int64), h.of(first, first + count - 1 + length).view(np.int64), first, count
+    return grams[anchor[first]].view(np.int64), h.of(first, first + count - 1 + length).view(np.int64), first, count | ((anchor[first] - first) << LOW)
 
 
 def _combined(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -207,8 +213,30 @@ def _later(again: bool):
     return batches
 
 
-def _strings(length: int, part_bytes: int):
-    """Reads (id, tag, text, runs); gives the hash of every suffix's string in the runs."""
+def _suffixes(h: _Hashes, anchor: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> list[np.ndarray]:
+    """A row for each suffix of the rows: anchor, hash of its string, start, n."""
+    n = n & ((1 << LOW) - 1)
+    at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return [np.repeat(anchor, n), h.of(at, at + length).view(np.int64), at, np.ones(len(at), np.int64)]
+
+
+def _classes(h: _Hashes, anchor: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> list[np.ndarray]:
+    """A row for each class of suffixes of the rows: hash of what they have in common, of their stretch, first suffix, number."""
+    width = -(-(length - GRAM + 1) // CLASSES)
+    far, n = n >> LOW, n & ((1 << LOW) - 1)
+    place, near = start + far, far - n + 1  # the anchor's, and its distance from the last suffix
+    count = far // width - near // width + 1
+    which = np.repeat(np.arange(len(n)), count)
+    c = near[which] // width + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    last = np.minimum((c + 1) * width - 1, length - GRAM)  # the largest distance in the class
+    common = h.of(place[which] - c * width, place[which] - last + length) + c.astype(np.uint64)
+    high, low = np.minimum(far[which], last), np.maximum(near[which], c * width)
+    first = place[which] - high
+    return [common.view(np.int64), h.of(first, place[which] - low + length).view(np.int64), first, high - low + 1]
+
+
+def _within(rows_of, length: int, part_bytes: int):
+    """Reads (id, tag, text, rows); gives what ``rows_of`` makes of them."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -218,17 +246,15 @@ def _strings(length: int, part_bytes: int):
                 data = np.frombuffer(t.as_buffer(), np.uint8)
                 anchor, start, n = (x.to_numpy() for x in runs.values.flatten())
                 order = np.argsort(start, kind="stable")
-                anchor, start, n = anchor[order], start[order], n[order]
-                for lo in range(0, len(data), part_bytes):  # runs that begin here; a run is no longer than a string
+                anchor, start, n = anchor[order], start[order], n[order].astype(np.int64)
+                for lo in range(0, len(data), part_bytes):  # rows that begin here; a stretch is shorter than two strings
                     pick = (start >= lo) & (start < lo + part_bytes)
                     if not pick.any():
                         continue
-                    h = _Hashes(data[lo : lo + part_bytes + 2 * length])
-                    count = n[pick]
-                    at = np.repeat(start[pick] - lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    digit = h.of(at, at + length).view(np.int64)
-                    held.append([np.repeat(anchor[pick], count), digit, np.full(len(at), i), np.full(len(at), tag), at + lo, np.ones(len(at), np.int32)])
-                    total += len(at)
+                    got = rows_of(_Hashes(data[lo : lo + part_bytes + 2 * length]), anchor[pick], start[pick] - lo, n[pick], length)
+                    k = len(got[0])
+                    held.append([got[0], got[1], np.full(k, i), np.full(k, tag), got[2] + lo, got[3]])
+                    total += k
                     if total >= part_bytes:
                         yield _combined([np.concatenate(x) for x in zip(*held, strict=True)])
                         held, total = [], 0
@@ -241,8 +267,8 @@ def _strings(length: int, part_bytes: int):
 def _cut(length: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out: list[list] = [[], [], [], [], []]
-            for i, t, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            out: list[list] = [[], [], [], []]
+            for t, runs in zip(b.column(2), b.column(3), strict=True):
                 data, spans = t.as_buffer(), []
                 if runs.is_valid and len(runs.values):
                     start, n = (x.to_numpy() for x in runs.values.flatten())
@@ -257,12 +283,12 @@ def _cut(length: int):
                     digest.update(view[last:s])
                     last = e
                 digest.update(view[last:])
-                for x, v in zip(out, (i, len(view), spans, sum(e - s for s, e in spans), digest.hexdigest()), strict=True):
+                for x, v in zip(out, (len(view), spans, sum(e - s for s, e in spans), digest.hexdigest()), strict=True):
                     x.append(v)
             spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in out[2]], spans_type), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())],
-                ["doc_id", "n_bytes", "spans", "n_removed", "kept_sha256"],
+                [b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in out[1]], spans_type), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())],
+                ["id", "tag", "n_bytes", "spans", "n_removed", "kept_sha256"],
             )
 
     return batches
@@ -273,28 +299,43 @@ def repeated_spans(docs: DataFrame, length: int = 100, part_bytes: int = PART) -
 
     ``length``: bytes of a string that may not repeat, over GRAM. ``part_bytes``: hashed at once.
     """
-    if length <= GRAM:
-        raise ValueError(f"length must be over {GRAM}")
-    ship(docs.sparkSession)
+    if not GRAM < length < 1 << LOW:
+        raise ValueError(f"length must be over {GRAM} and under {1 << LOW}")
+    spark = docs.sparkSession
+    ship(spark)
     rows = "anchor long, digit long, id long, tag long, start long, n int"
     found = "kind byte, anchor long, id long, tag long, start long, n int"
     text = _tagged(docs)
-    order = ["anchor", "digit", "id", "tag", "start"]
-    anchors = text.select("id", "tag", "text").mapInArrow(_anchors(length, part_bytes), rows)
-    by = lambda *c: F.when(F.col("n") > 0, F.xxhash64(*c)).otherwise(F.xxhash64("id", "tag", "start"))
-    second = materialize(anchors.repartition(by("anchor")).sortWithinPartitions(*order).mapInArrow(_later(True), found))
-    left = second.where("kind = 1").groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
-    strings = text.join(left, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_strings(length, part_bytes), rows)
-    # not written: in one plan with the cut below, both read one exchange of the texts
-    third = strings.repartition(by("anchor", "digit")).sortWithinPartitions(*order).mapInArrow(_later(False), found)
-    removed = second.where("kind = 0").select("id", "tag", "start", "n").union(third.select("id", "tag", "start", "n"))
-    spans = removed.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    cut = text.join(spans, ["id", "tag"], "left").select("doc_id", "text", "runs")
-    return cut.mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, n_removed long, kept_sha256 string")
+    key = ["id", "tag"]
+
+    def later(made: DataFrame, again: bool, *by: str) -> DataFrame:
+        """What repeats, and what goes on, among rows that are dealt by ``by``."""
+        deal = F.when(F.col("n") > 0, F.xxhash64(*by)).otherwise(F.xxhash64(*key, "start"))
+        return made.repartition(deal).sortWithinPartitions("anchor", "digit", *key, "start").mapInArrow(_later(again), found)
+
+    def within(rest: DataFrame, rows_of) -> DataFrame:
+        """Rows of the texts that have some left."""
+        left = rest.where("kind = 1").groupBy(*key).agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
+        return text.join(left, key).select(*key, "text", "runs").mapInArrow(_within(rows_of, length, part_bytes), rows)
+
+    runs = materialize(later(text.select(*key, "text").mapInArrow(_anchors(length, part_bytes), rows), True, "anchor"))
+    release(spark)  # the first exchange is the largest
+    # these aren't written: in one plan with the cut below, all read one exchange of the texts
+    classes = later(within(runs, _classes), True, "anchor")
+    strings = later(within(classes, _suffixes), False, "anchor", "digit")
+    removed = [x.where("kind = 0").select(*key, "start", F.col("n").bitwiseAND((1 << LOW) - 1).alias("n")) for x in (runs, classes, strings)]
+    spans = removed[0].union(removed[1]).union(removed[2]).groupBy(*key).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    cut = text.join(spans, key, "left").select(*key, "text", "runs")
+    out = cut.mapInArrow(_cut(length), "id long, tag long, n_bytes long, spans array<struct<start:long,end:long>>, n_removed long, kept_sha256 string")
+    return out.select(F.when(~_nameless(), F.col("id")).alias("doc_id"), "n_bytes", "spans", "n_removed", "kept_sha256")
+
+
+def _nameless() -> Column:
+    return (F.col("id") == NULL_ID) & (F.col("tag").bitwiseAND(1) == 1)
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """doc_id, text (bytes), and the key (id, tag) of each row."""
+    """text (bytes) and the key (id, tag) of each row; tags are odd where doc_id is null, and else even."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
@@ -302,5 +343,6 @@ def _tagged(docs: DataFrame) -> DataFrame:
     several = hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     odd = materialize(several.select(bucket.alias("odd")).distinct())  # BUCKETS rows at most
     marked = rows.join(F.broadcast(odd), bucket == F.col("odd"), "left")
-    tag = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(1), "text")).when(F.col("odd").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
-    return marked.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), tag.alias("tag"))
+    own = F.xxhash64("text")
+    tag = F.when(F.col("doc_id").isNull(), own.bitwiseOR(F.lit(1).cast("long"))).when(F.col("odd").isNotNull(), own.bitwiseAND(F.lit(-2).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return marked.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), tag.alias("tag"), "text")
