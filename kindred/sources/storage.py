@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -56,9 +57,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that have ended: it learns of them when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of plans that have ended: it learns of them when the driver's garbage is collected.
+
+    Python's references go in the first round, and what they held in the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
