@@ -10,9 +10,11 @@ so equal values have equal pseudonyms in all documents; dates are permuted by da
 - email: letters and digits of the local part, letter for letter and digit for digit; the domain stays.
 - secret: hexadecimal values after ``password=``, ``token = "`` and the like, and access key ids, character class for character class.
 - phone: the last ten digits; a country code before them stays. card: all digits, the last being Luhn's. iban: account part, new check digits.
-- ip: four octets. ssn: area, group and serial in their valid ranges. date: a day of the 400 years from 1800-01-01.
+- ip: four octets. ssn: area, group and serial in their valid ranges. date: a day of its 400 years (1800 to 2199, 1400 to 1799 and so on: the calendar
+  repeats after 400 years). Dates of years before 200 and after 9799 stay.
 
-Strings are permuted in blocks of 16 characters (left and right half of a block), each character within its class.
+Strings are permuted in blocks of 9 to 16 characters (left and right half of a block), shorter ones as one block, each character within its class; a
+block of one character is moved within its class by a keyed distance. So every string keeps its length and its classes.
 Only the values' places change: a text without a valid value is returned as it was, null stays null, empty stays empty. Rows are independent,
 so nothing is shuffled, and repeated rows give equal results. Only SQL functions are used.
 """
@@ -79,11 +81,14 @@ def permute_characters(text: Column, key: str, kind: str, letters: str = LOWER)
         """Alphabet of a character; itself alone if it is none of them."""
         return F.when(F.instr(F.lit(DIGITS), c) > 0, DIGITS).when(F.instr(F.lit(small), c) > 0, small).when(F.instr(F.lit(capital), c) > 0, capital).otherwise(c)
 
+    def chars(s: Column) -> Column:
+        return F.filter(F.split(s, ""), lambda c: c != "")  # the empty half of a block of one character has none
+
     def size(s: Column) -> Column:
-        return F.aggregate(F.split(s, ""), F.lit(1).cast("long"), lambda n, c: n * F.length(classes(c)))
+        return F.aggregate(chars(s), F.lit(1).cast("long"), lambda n, c: n * F.length(classes(c)))
 
     def number(s: Column) -> Column:
-        return F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda n, c: n * F.length(classes(c)) + F.instr(classes(c), c) - 1)
+        return F.aggregate(chars(s), F.lit(0).cast("long"), lambda n, c: n * F.length(classes(c)) + F.instr(classes(c), c) - 1)
 
     def spelled(s: Column, n: Column) -> Column:
         start = F.struct(n.alias("n"), F.lit("").alias("s"))
@@ -95,9 +100,9 @@ def permute_characters(text: Column, key: str, kind: str, letters: str = LOWER)
                 F.concat(F.substring(abc, F.pmod(x["n"], F.length(abc).cast("long")).cast("int") + 1, F.lit(1)), x["s"]).alias("s"),
             )
 
-        return F.aggregate(F.reverse(F.split(s, "")), start, one, lambda x: x["s"])
+        return F.aggregate(F.reverse(chars(s)), start, one, lambda x: x["s"])
 
-    def block(s: Column, i: Column) -> Column:
+    def block(s: Column) -> Column:
         half = F.floor(F.length(s) / 2).cast("int")
         parts = F.struct(F.substring(s, F.lit(1), half).alias("x"), F.substring(s, half + 1, F.length(s)).alias("y"))
 
@@ -107,7 +112,10 @@ def permute_characters(text: Column, key: str, kind: str, letters: str = LOWER)
 
         return let(parts, mixed)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / BLOCK).cast("int")), lambda i: block(F.substring(text, i * BLOCK + 1, F.lit(BLOCK)), i))
+    # as few blocks as can be, of about equal length
+    n = F.greatest(F.ceil(F.length(text) / BLOCK), F.lit(1))
+    edge = lambda i: F.floor(i * F.length(text) / n).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: block(F.substring(text, edge(i) + 1, edge(i + 1) - edge(i))))
     return F.when(F.length(text) > 0, F.array_join(blocks, "")).otherwise(text)
 
 
@@ -176,16 +184,17 @@ def _date(m: Column, key: str) -> Column:
 
     def done(x: Column) -> Column:
         # 400 years have 146,097 = 189 * 773 days
-        n = F.datediff(x["d"], zero)
+        days = F.datediff(x["d"], zero)
+        n, cycle = F.pmod(days, F.lit(146097)), F.floor(days / 146097)
 
         def spelled(z: Column) -> Column:
-            new = F.date_add(zero, (z["l"] * 773 + z["r"]).cast("int"))
+            new = F.date_add(zero, (cycle * 146097 + z["l"] * 773 + z["r"]).cast("int"))
             y, mo, d = F.lpad(F.year(new).cast("string"), 4, "0"), F.month(new), F.dayofmonth(new)
             two = lambda v: F.lpad(v.cast("string"), 2, "0")
             sep = F.when(m.contains("/"), "/").otherwise(".")
             return F.when(iso, F.concat_ws("-", y, two(mo), two(d))).when(x["us"], F.concat(two(mo), sep, two(d), sep, y)).otherwise(F.concat(two(d), sep, two(mo), sep, y))
 
-        return F.when((n >= 0) & (n < 146097), let(feistel(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), key, "date"), spelled))
+        return F.when((F.year(x["d"]) >= 200) & (F.year(x["d"]) < 9800), let(feistel(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), key, "date"), spelled))
 
     return let(found, done)
 
@@ -256,7 +265,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         return let(first, lambda x: F.when(x["new"].isNotNull(), x).otherwise(kept))
 
     text = F.col("text")
-    hit = text.rlike("[0-9@]") & text.rlike(PATTERN)
+    hit = text.rlike("[0-9@=:]|AKIA") & text.rlike(PATTERN)  # the first is quick, and every shape holds one of these
     rows = docs.withColumn("__hit", F.coalesce(hit, F.lit(False)))
     rows = rows.withColumns(
         {

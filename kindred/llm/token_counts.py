@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from kindred.sources.storage import ship
 
 SPACE = "▁"
-#: Word maps and states kept in a worker. Words met later are read character by character; states are made anew.
-CACHE, STATES = 500_000, 150_000
+#: Word maps, states and pairs of tokens kept in a worker. Words met later are read character by character; states and pairs are made anew.
+CACHE, STATES, PAIRS = 500_000, 150_000, 500_000
 #: Characters in a chunk.
 CHUNK = 1 << 16
 
@@ -91,6 +91,8 @@ class Transducer:
             return True
         key = (left, right)
         if key not in self.apart:
+            if len(self.apart) >= PAIRS:
+                self.apart.clear()
             self.apart[key] = self.merge(left + right) == [left, right]
         return self.apart[key]
 
