@@ -1,16 +1,17 @@
 """Quality rules with cutoffs that risk control sets from labelled documents.
 
-Each feature is a number that is higher in worse texts. For each stratum (language) and feature a row of cutoffs goes from lenient to strict.
-Cutoff j may be used if the chance of seeing as few false rejections as seen among the stratum's n good labelled documents,
-were the true rate ``risk / features``, is at most ``error / (strata * features)``: an exact binomial tail, P(Bin(n, a) <= k), which is
-the same as the Clopper-Pearson upper bound being at most a. Cutoffs are tested in order and the first failure ends a row (fixed-sequence testing),
-so no correction is needed within a row; between rows Bonferroni's is used, and the risk is shared by the features (union bound). Hence
-with probability 1 - ``error`` no stratum loses more than ``risk`` of its good documents. Of the cutoffs allowed, the one with the largest
-"bad rejected - ``worth`` * good rejected" is taken, the more lenient of equals; if none is over zero, none is taken.
-
-All labelled documents count, none are sampled. Strata without enough labels get no cutoffs and lose nothing but what fails the base rules.
-Null text has no words and fails the base rules. Where a doc_id has several labels it is good if one says so. Null labels don't count; a null
-stratum is a stratum of its own. Repeated rows are judged alike.
+Each feature is a number that is higher in worse texts, and has a row of STEPS limits from lenient to strict. Cutoff j rejects a text if any feature
+is at or beyond its limit j, so a text's one score is the first cutoff that rejects it, and cutoffs only get stricter. The limits are constants; labels
+choose how far along the row a stratum (language) may go. Cutoff j may be used if the chance of seeing as few false rejections as seen among the stratum's
+n good labelled texts, were the true rate ``risk``, is at most ``error / strata``: an exact binomial tail, P(Bin(n, risk) <= k), which is
+the same as the Clopper-Pearson upper bound being at most risk. Cutoffs are tested in order and the first failure ends the row (fixed-sequence testing),
+so no correction is needed within it; between strata Bonferroni's is used. Hence with probability 1 - ``error`` no stratum loses more than ``risk``
+of its good texts. With risk 0.02, error 0.1 and four strata that takes 183 good labelled texts without a false rejection. Of the cutoffs allowed, the one with
+the largest "bad rejected - ``worth`` * good rejected" is taken, the more lenient of equals; if none is over zero, none is taken.
+
+The bound holds for independent draws, so copies of a text in a stratum count once. All labelled documents count, none are sampled. Strata without enough labels
+get no cutoff and lose nothing but what fails the base rules. Null text has no words and fails the base rules. Where a doc_id or a text has several labels it is good
+if one says so. Null labels don't count; a null stratum is a stratum of its own. Repeated rows are judged alike, each by its own text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,22 +22,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.texts import BLANKS, lines, without, words
+from kindred.llm.texts import BLANKS, lines, text_hash, without, words
 from kindred.sources.storage import materialize
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Cutoffs of a row.
 STEPS = 40
-#: Feature: its most lenient cutoff (rejecting nothing) and the end of its row.
+#: Feature: its limits, from the most lenient to the strictest.
 RANGES = {
-    "symbols": (2.0, 0.0),
-    "dup_lines": (1.0, 0.0),
-    "repeats": (0.3, 0.0),
-    "exclamations": (1.0, 0.0),
-    "capitals": (0.6, 0.0),
-    "word_length": (12.0, 4.0),
-    "sameness": (1.0, 0.0),
+    "symbols": (2.0, 0.05),
+    "dup_lines": (1.0, 0.3),
+    "repeats": (0.3, 0.15),
+    "exclamations": (1.0, 0.1),
+    "capitals": (0.6, 0.1),
+    "word_length": (12.0, 7.0),
+    "sameness": (1.0, 0.6),
 }
 BROADCAST_STRATA = 10_000
 
@@ -51,7 +52,7 @@ def _repeat_words(w: int) -> tuple[dict[str, Column], dict[str, Column], Column]
 
 
 def base(docs: DataFrame, stratum: str = "lang", window: int = 8) -> DataFrame:
-    """doc_id, stratum, the base counts, and the features' raw numbers of each row. A narrow pass over the texts."""
+    """doc_id, stratum, text_hash, the base counts, and the features' raw numbers of each row. A narrow pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     one, two, repeated = _repeat_words(window)
     rows = docs.select(F.col("doc_id"), F.col(stratum).alias("stratum"), text.alias("__text"), words(F.col("text")).alias("__words"))
@@ -71,6 +72,7 @@ def base(docs: DataFrame, stratum: str = "lang", window: int = 8) -> DataFrame:
     return rows.select(
         "doc_id",
         "stratum",
+        text_hash(F.col("__text")).alias("text_hash"),
         count(F.size("__words")).alias("n_words"),
         count(F.length(without(F.col("__text"), BLANKS))).alias("word_chars"),
         count(length - F.length(without(F.col("__text"), SYMBOLS))).alias("n_symbols"),
@@ -131,38 +133,36 @@ def log_binomial_tail(n: Column, k: Column, rate: Column | float) -> Column:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, error: float, worth: float) -> DataFrame:
-    """stratum, feature, cut (step; values at this step or before are rejected). rows: as of ``base``, with ``steps``."""
+    """stratum, cut (texts whose step is at or before it are rejected). rows: as of ``base``, with ``step`` and ``base_failed``."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    long = rows.where("not base_failed").select("doc_id", "stratum", "steps").join(known, "doc_id").select("stratum", "quality", F.explode("steps").alias("feature", "step"))
-    counts = long.groupBy("stratum", "feature", "step").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad"))
-    # a row for each cutoff, also where no document has its step
-    row = counts.groupBy("stratum", "feature").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("good", "bad")))).alias("at"), F.sum("good").alias("n"))
-    row = materialize(row)
+    drawn = rows.where("not base_failed").select("doc_id", "stratum", "text_hash", "step").join(known, "doc_id")
+    drawn = drawn.groupBy("stratum", "text_hash", "step").agg(F.max("quality").alias("quality"))
+    good = F.col("quality") == 1
+    counts = drawn.groupBy("stratum", "step").agg(F.sum(F.when(good, 1).otherwise(0)).alias("good"), F.sum(F.when(good, 0).otherwise(1)).alias("bad"))
+    # a row for each cutoff, also where no text has its step
+    row = materialize(counts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("good", "bad")))).alias("at"), F.sum("good").alias("n")))
     tests = max(row.count(), 1)
-    each = row.select("stratum", "feature", "n", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step"), "at")
-    each = each.select("stratum", "feature", "n", "step", F.coalesce(F.col("at")[F.col("step")]["good"], F.lit(0)).alias("good"), F.coalesce(F.col("at")[F.col("step")]["bad"], F.lit(0)).alias("bad"))
-    along = Window.partitionBy("stratum", "feature").orderBy("step")
+    seen = lambda c: F.coalesce(F.col("at")[F.col("step")][c], F.lit(0)).alias(c)
+    each = row.select("stratum", "n", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step"), "at").select("stratum", "n", "step", seen("good"), seen("bad"))
+    along = Window.partitionBy("stratum").orderBy("step")
     each = each.withColumns({"good": F.sum("good").over(along), "bad": F.sum("bad").over(along)})
-    rate = risk / len(RANGES)
-    allowed = (F.col("good") < F.col("n") * rate) & (log_binomial_tail(F.col("n"), F.least(F.col("good"), F.col("n")), rate) <= math.log(error / tests))
+    allowed = (F.col("good") < F.col("n") * risk) & (log_binomial_tail(F.col("n"), F.least(F.col("good"), F.col("n")), risk) <= math.log(error / tests))
     each = each.withColumn("allowed", F.min(F.when(allowed, 1).otherwise(0)).over(along))
     gain = F.col("bad") - worth * F.col("good")
-    best = each.where("allowed = 1").groupBy("stratum", "feature").agg(F.max(F.struct(gain.alias("gain"), (-F.col("step")).alias("step"))).alias("best"))
-    return best.where("best.gain > 0").select("stratum", "feature", (-F.col("best.step")).alias("cut"))
+    best = each.where("allowed = 1").groupBy("stratum").agg(F.max(F.struct(gain.alias("gain"), (-F.col("step")).alias("step"))).alias("best"))
+    return best.where("best.gain > 0").select("stratum", (-F.col("best.step")).alias("cut"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, error: float = 0.05, worth: float = 10.0) -> DataFrame:
-    """doc_id, stratum, the base counts, base_failed and kept of each row of ``docs``."""
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, error: float = 0.1, worth: float = 10.0) -> DataFrame:
+    """doc_id, stratum, text_hash, the base counts, base_failed and kept of each row of ``docs``."""
     rows = base(docs, stratum)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     found = _features()
-    steps = F.map_from_arrays(F.array(*map(F.lit, RANGES)), F.array(*(_step(found[f], ends) for f, ends in RANGES.items())))
-    rows = materialize(rows.withColumns({"base_failed": failed, "steps": steps}).drop("n_lines", "n_kinds", "n_exclamations", "n_capitals"))
-    cuts = cutoffs(rows, labels, risk, error, worth).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("feature", "cut"))).alias("cuts"))
-    cuts = materialize(cuts.withColumnRenamed("stratum", "cut_stratum"))
+    step = F.least(*(_step(found[f], ends) for f, ends in RANGES.items()))
+    rows = materialize(rows.withColumns({"base_failed": failed, "step": step}).drop("n_lines", "n_kinds", "n_exclamations", "n_capitals"))
+    cuts = materialize(cutoffs(rows, labels, risk, error, worth).withColumnRenamed("stratum", "cut_stratum"))
     if cuts.count() <= BROADCAST_STRATA:
         cuts = F.broadcast(cuts)
     joined = rows.join(cuts, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
-    over = F.exists(F.map_entries("cuts"), lambda c: F.col("steps")[c["key"]] <= c["value"])
-    kept = ~F.col("base_failed") & ~F.coalesce(over, F.lit(False))
-    return joined.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("step") <= F.col("cut"), F.lit(False))
+    return joined.select("doc_id", "stratum", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -31,7 +31,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("stratum")
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("stratum", "text_hash")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,28 +88,26 @@ _VALUES = {
     "word_length": "word_chars / greatest(n_words, 1)",
     "sameness": "1 - n_kinds / greatest(n_words, 1)",
 }
-_STEPS = ", ".join(
-    f"{{'f': '{f}', 's': greatest(1, least({quality.STEPS + 1}, CAST(floor(({hi} - {_VALUES[f]}) / ({hi} - {lo}) * {quality.STEPS}) AS INT) + 1))}}" for f, (hi, lo) in quality.RANGES.items()
-)
-_RATE = f"(0.02 / {len(quality.RANGES)})"
+_STEP = ", ".join(f"greatest(1, least({quality.STEPS + 1}, CAST(floor(({hi} - ({_VALUES[f]})) / CAST({hi - lo!r} AS DOUBLE) * {quality.STEPS}) AS INT) + 1))" for f, (hi, lo) in quality.RANGES.items())
 
 QUALITY_SQL = rf"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents),
 u AS (SELECT *, {_WORDS} AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
 g AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM u)),
 d AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
 c AS (SELECT doc_id, sum(least(8, step)) AS n FROM (SELECT doc_id, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), p - 8) AS step FROM d) GROUP BY 1),
-b AS (SELECT u.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+b AS (SELECT u.doc_id, lang, x, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(list_distinct(w)) AS n_kinds,
  length(regexp_replace(x, '[^!]', '', 'g')) AS n_exclamations, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_capitals FROM u LEFT JOIN c USING (doc_id)),
-e AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [{_STEPS}] AS steps FROM b),
+e AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, least({_STEP}) AS s FROM b),
 q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-n AS (SELECT lang, s.f AS f, s.s AS s, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality <> 1) AS bad FROM (SELECT lang, quality, unnest(steps) AS s FROM e JOIN q USING (doc_id) WHERE NOT base_failed) GROUP BY 1, 2, 3),
-r AS (SELECT lang, f, sum(good) AS n FROM n GROUP BY 1, 2),
-k AS (SELECT r.lang, r.f, r.n, j.s, sum(coalesce(n.good, 0)) OVER w AS good, sum(coalesce(n.bad, 0)) OVER w AS bad FROM r CROSS JOIN (SELECT unnest(range(1, {quality.STEPS + 1})) AS s) j LEFT JOIN n ON n.lang IS NOT DISTINCT FROM r.lang AND n.f = r.f AND n.s = j.s WINDOW w AS (PARTITION BY r.lang, r.f ORDER BY j.s)),
-o AS (SELECT *, min(CASE WHEN good < n * {_RATE} AND list_sum(list_transform(range(0, CAST(good AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) <= 0.05 / (SELECT count(*) FROM r) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, f ORDER BY s) AS allowed FROM k),
-cut AS (SELECT lang, f, s AS cut FROM o WHERE allowed = 1 AND bad - 10 * good > 0 QUALIFY row_number() OVER (PARTITION BY lang, f ORDER BY bad - 10 * good DESC, s) = 1),
-z AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, lang, unnest(steps) AS s FROM e) x JOIN cut ON cut.lang IS NOT DISTINCT FROM x.lang AND cut.f = x.s.f AND x.s.s <= cut.cut)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM z) AS kept FROM e"""
+d1 AS (SELECT lang, x, any_value(s) AS s, max(quality) AS quality FROM e JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2),
+n AS (SELECT lang, s, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality <> 1) AS bad FROM d1 GROUP BY 1, 2),
+r AS (SELECT lang, sum(good) AS n FROM n GROUP BY 1),
+k AS (SELECT r.lang, r.n, j.s, sum(coalesce(n.good, 0)) OVER w AS good, sum(coalesce(n.bad, 0)) OVER w AS bad FROM r CROSS JOIN (SELECT unnest(range(1, {quality.STEPS + 1})) AS s) j LEFT JOIN n ON n.lang IS NOT DISTINCT FROM r.lang AND n.s = j.s WINDOW w AS (PARTITION BY r.lang ORDER BY j.s)),
+o AS (SELECT *, min(CASE WHEN good < n * 0.02 AND list_sum(list_transform(range(0, CAST(good AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) <= 0.1 / (SELECT count(*) FROM r) THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY s) AS allowed FROM k),
+cut AS (SELECT lang, s AS cut FROM o WHERE allowed = 1 AND bad - 10 * good > 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY bad - 10 * good DESC, s) = 1),
+z AS (SELECT e.*, coalesce(s <= cut, false) AS over FROM e LEFT JOIN cut ON cut.lang IS NOT DISTINCT FROM e.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM z"""
 
 LINES_SQL = r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, i - 1 AS pos, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l)),

@@ -22,3 +22,8 @@ def lines(text: Column) -> Column:
 def without(text: Column, characters: str) -> Column:
     """The text without these characters."""
     return F.translate(text, characters, "")
+
+
+def text_hash(text: Column) -> Column:
+    """With the doc_id it tells rows apart; null is taken as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions, met with rules by short hash prefixes.
 
 A rule is a host and a path beginning. It fits a URL if the URL's host is the rule's or a subdomain of it, and the path starts
-with the rule's path. The URL is expanded into host suffixes (at label ends) times path beginnings (of the lengths that rules have);
+with the rule's path. The URL is expanded into host suffixes (of as many labels as some rule has) times path beginnings (of the lengths that rules have);
 expressions meet rules on the first eight hexadecimal digits of their SHA-256 and the full digests confirm. The longest rule
 wins, of equally long ones that with the longer host, then the smaller text; if rules of one text differ, block wins.
 
@@ -39,15 +39,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """page_id, host, path, rule and verdict of each row of ``pages`` (page_id, url). rules: host, path, verdict."""
     rules = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict")).na.drop()
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
-    size = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths")).first()
+    size = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"), F.array_sort(F.collect_set(F.size(F.split("rule_host", r"\.")))).alias("labels")).first()
     keyed = rules.select("*", *_digests(F.concat_ws("\n", "rule_host", "rule_path")))
     if size.n <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.filter(F.lit(size.lengths), lambda n: n <= F.length("path"))
+    few = F.filter(F.lit(size.labels).cast("array<int>"), lambda n: n <= F.size(labels))
+    suffixes = F.transform(few, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    starts = F.filter(F.lit(size.lengths).cast("array<int>"), lambda n: n <= F.length("path"))
     expanded = (
         rows.select("host", "path").distinct()
         .withColumn("suffix", F.explode(suffixes))

@@ -281,6 +281,23 @@ def test_quality_risk(spark):
     assert few == 0  # too few labels to be sure
 
 
+def test_quality_copies_and_few_labels(spark):
+    """Copies of a text are one draw; 183 good texts are enough for four strata, 182 aren't."""
+    r = random.Random(16)
+    words = made(17, 1, 4000)[0].split()
+
+    def kept(n_good, copies):
+        rows = [(i, " ".join(r.sample(words, 40)), "en") for i in range(n_good)] + [(1000 + i, " ".join(w + " " + "".join(r.choices("#*$%&|<>", k=3)) for w in r.sample(words, 30)), "en") for i in range(30)]
+        rows += [(2000 + i, rows[0][1], "en") for i in range(copies)] + [(3000 + i, " ".join(r.sample(words, 40)), lang) for i, lang in enumerate(["de", "fr", "es"])]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(x[0], 0 if 1000 <= x[0] < 2000 else 1, 0) for x in rows], "doc_id long, quality int, toxic int")
+        return {x.doc_id: x.kept for x in quality.judge(df, labels).collect()}
+
+    enough, few = kept(183, 0), kept(182, 300)
+    assert not any(v for i, v in enough.items() if 1000 <= i < 2000) and all(v for i, v in enough.items() if not 1000 <= i < 2000)
+    assert all(few.values())
+
+
 # 5 lines
 
 
@@ -501,6 +518,13 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(pages, df.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_long_host(spark):
+    host = ".".join("x" * (i % 3 + 1) for i in range(20_000))
+    pages = spark.createDataFrame([(1, f"http://{host}.a.example.com/en/7"), (2, f"http://{host}/en/")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("a.example.com", "/en/7", "allow")], "host string, path string, verdict string")
+    assert {x.page_id: (x.rule, x.verdict) for x in urls.judge(pages, rules).collect()} == {1: ("a.example.com/en/7", "allow"), 2: (None, "allow")}
+
+
 # 1 language model
 
 
