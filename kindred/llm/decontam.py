@@ -6,9 +6,13 @@ least m - q + 1 - k * q of the item's q-grams, on diagonals (text place minus it
 bands of width 4k + 4 that overlap by 2k + 1, so one band holds them all; bands with fewer hits are discarded, and a banded
 alignment verifies the rest exactly.
 
+Hits are counted in slices of ``SLICE``, in the order of the text, and an item that was found without edits needs no more hits in that text, so texts and items
+that repeat a q-gram over and over take bounded memory.
+
 Items are sent to the executors in blocks of at most ``BLOCK_CHARS`` characters; a larger benchmark takes more passes over the texts, so what is
-sent has a fixed bound. Items of under ``MIN_CHARS`` characters are no evidence and match nothing; equal items all match. Null texts hold nothing.
-Each (row, item) gives one result row, for the closest stretch (the first of equals); rows that repeat a doc_id give a row each.
+sent has a fixed bound. Items under ``MIN_CHARS`` characters share too few q-grams for the lemma; they are found as whole words without edits (Aho and Corasick's automaton),
+and item_chars lets callers weigh such evidence. Empty and null items match nothing; equal items all match, each by its item_id, which may be null. Null texts hold nothing.
+Each (row, item) gives one result row, for the closest stretch (the first of equals); rows that repeat a doc_id give a row each, told apart by text_hash.
 """
 
 from __future__ import annotations
@@ -20,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.texts import text_hash
 from kindred.sources.storage import ship
 
 Q, RATE, MIN_CHARS = 10, 0.06, 30
 BLOCK_CHARS = 4_000_000
+#: Pairs of a text place and an item place that are counted at once.
+SLICE = 4_000_000
 #: Text characters that are looked up at once.
 PART = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,17 +59,25 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, and the short items themselves."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.ids = [i for i, _ in items]
-        self.codes = [_codes(t) for _, t in items]
-        self.budget = np.array([int(rate * len(c)) for c in self.codes], np.int64)
+        short = [(i, t) for i, t in items if len(t) < MIN_CHARS]
+        long = [(i, t) for i, t in items if len(t) >= MIN_CHARS]
+        self.short: dict[str, list[int]] = {}
+        for i, t in short:
+            self.short.setdefault(t, []).append(i)
+        self.automaton = None
+        self.ids = [i for i, _ in long]
+        self.codes = [_codes(t) for _, t in long]
+        self.size = np.array([len(c) for c in self.codes], np.int64)
+        self.budget = (rate * self.size).astype(np.int64)
         self.width = 4 * self.budget + 4
-        self.need = np.array([len(c) for c in self.codes]) - Q + 1 - self.budget * Q
-        grams = [_grams(c) for c in self.codes]
+        self.step = self.width - 2 * self.budget - 1
+        self.need = np.maximum(1, self.size - Q + 1 - self.budget * Q)
+        grams = [_grams(c) for c in self.codes] or [np.empty(0, np.uint64)]
         h = np.concatenate(grams)
-        item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        item = np.repeat(np.arange(len(long)), [len(g) for g in grams[: len(long)]])
         at = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(h, kind="stable")
         self.hash, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
@@ -70,7 +85,26 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
 
-    def find(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def find_short(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(item_id, start, end, characters) of the first place of each short item that stands in a normal text as whole words."""
+        if not self.short:
+            return
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for t in self.short:
+                self.automaton.add_word(t, t)
+            self.automaton.make_automaton()
+        seen = set()
+        for last, t in self.automaton.iter(text):
+            start, end = last + 1 - len(t), last + 1
+            if t not in seen and (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " "):
+                seen.add(t)
+                for i in self.short[t]:
+                    yield i, start, end, len(t)
+
+    def find(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of the closest stretches. codes: normal texts one after another; starts: where they begin."""
         h = _grams(codes)
         maybe = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
@@ -79,36 +113,48 @@ class Index:
         hit = self.hash[slot] == h[maybe]
         place, slot = maybe[hit], slot[hit]
         if not len(place):
-            return
-        text = np.searchsorted(starts, place, side="right") - 1
+            return []
+        ends = np.r_[starts[1:], len(codes)]
+        bands = int((ends - starts).max() + self.size.max()) // int(self.step.min()) + 2
+        items = len(self.ids)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        known, counted = np.empty(0, np.int64), np.empty(0, np.int64)  # bands and their hits so far
+        exact = np.empty(0, np.int64)  # pairs that need no more
+        total = np.cumsum(self.count[slot])
+        cut = [0, *np.flatnonzero(np.diff(total // SLICE) > 0) + 1, len(place)]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            for keys in self._bands(place[lo:hi], slot[lo:hi], starts, bands, exact):
+                values, counts = np.unique(np.r_[known, keys], return_inverse=True)
+                before = np.bincount(counts[: len(known)], counted, len(values)).astype(np.int64)
+                after = before + np.bincount(counts[len(known) :], minlength=len(values))
+                need = self.need[values // bands % items]
+                fresh = values[(after >= need) & (before < need)]
+                known, counted = values, after
+                for text, item, band in zip((fresh // bands // items).tolist(), (fresh // bands % items).tolist(), (fresh % bands).tolist(), strict=True):
+                    k = int(self.budget[item])
+                    low = band * int(self.step[item]) - int(self.size[item])
+                    got = closest(self.codes[item], codes[starts[text] : ends[text]], low - k, low + int(self.width[item]) - 1 + k, k)
+                    if got and ((text, item) not in best or (got[2], got[0]) < (best[text, item][2], best[text, item][0])):
+                        best[text, item] = got
+            if hi < len(place):
+                exact = np.array(sorted(t * items + i for (t, i), x in best.items() if not x[2]), np.int64)
+        return [(t, i, *x) for (t, i), x in sorted(best.items())]
+
+    def _bands(self, place: np.ndarray, slot: np.ndarray, starts: np.ndarray, bands: int, exact: np.ndarray) -> Iterator[np.ndarray]:
+        """The bands that hits lie in, as numbers (text * items + item) * bands + band, without those of ``exact`` pairs."""
         n = self.count[slot]
+        text = np.searchsorted(starts, place, side="right") - 1
         entry = np.repeat(self.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, text, place = self.item[entry], np.repeat(text, n), np.repeat(place, n)
+        pair = text * len(self.ids) + item
+        if len(exact):
+            left = ~np.isin(pair, exact)
+            item, text, place, pair, entry = item[left], text[left], place[left], pair[left], entry[left]
         # diagonals from 0: the text place grows by the item's length
-        size = np.array([len(c) for c in self.codes])
-        diagonal = place - starts[text] - self.at[entry] + size[item]
-        width, step = self.width[item], self.width[item] - 2 * self.budget[item] - 1
-        band = diagonal // step
-        lower = (band > 0) & (diagonal - (band - 1) * step < width)
-        key = np.stack([np.r_[text, text[lower]], np.r_[item, item[lower]], np.r_[band, band[lower] - 1]])
-        packed = (key[0].astype(np.int64) << 44) | (key[1].astype(np.int64) << 24) | key[2] if key[2].max(initial=0) < 1 << 24 and len(self.ids) < 1 << 20 else None
-        if packed is not None:
-            values, counts = np.unique(packed, return_counts=True)
-            bands = np.stack([values >> 44, (values >> 24) & 0xFFFFF, values & 0xFFFFFF], 1)
-        else:
-            bands, counts = np.unique(key.T, axis=0, return_counts=True)
-        good = counts >= np.maximum(1, self.need[bands[:, 1]])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        ends = np.r_[starts[1:], len(codes)]
-        for t, i, b in bands[good].tolist():
-            k = int(self.budget[i])
-            lo = b * (int(self.width[i]) - 2 * k - 1) - len(self.codes[i])
-            own = codes[starts[t] : ends[t]]
-            got = closest(self.codes[i], own, lo - k, lo + int(self.width[i]) - 1 + k, k)
-            if got and (got[2], got[0]) < ((x := best.get((t, i), (0, 0, 1 << 60)))[2], x[0]):
-                best[t, i] = got
-        for (t, i), (start, end, edits) in sorted(best.items()):
-            yield t, i, start, end, edits
+        diagonal = place - starts[text] - self.at[entry] + self.size[item]
+        band = diagonal // self.step[item]
+        lower = (band > 0) & (diagonal - (band - 1) * self.step[item] < self.width[item])
+        yield np.r_[pair * bands + band, pair[lower] * bands + band[lower] - 1]
 
 
 def closest(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -144,48 +190,51 @@ def closest(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int
 
 
 def _matches(index: Index):
-    def flush(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch | None:
+    def flush(keys: list[tuple], texts: list[np.ndarray], rows: list[tuple]) -> pa.RecordBatch | None:
         gap = np.zeros(Q, np.uint32)  # no q-gram of an item spans two texts: items hold no zero here
         starts = np.cumsum([0, *(len(t) + Q for t in texts[:-1])])
         joined = np.concatenate([x for t in texts for x in (t, gap)])
-        rows = [(ids[t], index.ids[i], s, e, k, len(index.codes[i])) for t, i, s, e, k in index.find(joined, starts)]
-        if not rows:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "start", "end", "edits", "item_chars"])
+        found = index.find(joined, starts) if index.ids else []
+        rows = rows + [(*keys[t], index.ids[i], s, e, k, len(index.codes[i])) for t, i, s, e, k in found]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], FIELDS) if rows else None
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, texts, total = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(i)
-                texts.append(_codes(normal(t.as_py())))
+            keys, texts, rows, total = [], [], [], 0
+            for key, t in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), strict=True):
+                text = normal(t.as_py())
+                rows += [(*key, i, s, e, 0, n) for i, s, e, n in index.find_short(text)]
+                keys.append(key)
+                texts.append(_codes(text))
                 total += len(texts[-1])
                 if total >= PART:
-                    if out := flush(ids, texts):
+                    if out := flush(keys, texts, rows):
                         yield out
-                    ids, texts, total = [], [], 0
-            if texts and (out := flush(ids, texts)):
+                    keys, texts, rows, total = [], [], [], 0
+            if texts and (out := flush(keys, texts, rows)):
                 yield out
 
     return batches
 
 
+FIELDS = ["doc_id", "text_hash", "item_id", "start", "end", "edits", "item_chars"]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, start, end (characters of the normal text), edits, item_chars: items found in rows of ``docs``."""
-    ship(docs.sparkSession)
+    """doc_id, text_hash, item_id, start, end (characters of the normal text), edits, item_chars: items found in rows of ``docs``."""
     spark = docs.sparkSession
-    size = F.length("text")
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where(size >= MIN_CHARS)
-    blocks = max(1, -(-(items.agg(F.sum(size).alias("n")).first().n or 0) // BLOCK_CHARS))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).where(size >= MIN_CHARS - int(rate * MIN_CHARS) - 1)
-    schema = "doc_id long, item_id long, start long, end long, edits long, item_chars long"
+    ship(spark)
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null")
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // BLOCK_CHARS))
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("text_hash"), F.col("text")).where("text is not null")
+    schema = ", ".join(f"{c} long" for c in FIELDS)
     out = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        got = [(r.item_id, n) for r in own.collect() if len(n := normal(r.text)) >= MIN_CHARS]  # about BLOCK_CHARS characters
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        got = [(r.item_id, n) for r in own.distinct().collect() if (n := normal(r.text))]  # about BLOCK_CHARS characters
         if not got:
             continue
-        sent = spark.sparkContext.broadcast(Index(sorted(got, key=lambda x: (x[0] is None, x)), rate))
+        sent = spark.sparkContext.broadcast(Index(sorted(got, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))
         found = rows.mapInArrow(_lazy(sent), schema)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out

@@ -1,11 +1,11 @@
 """SimHash near-duplicates, found with tables of distances to reference fingerprints.
 
 A fingerprint bit is set where over half of a text's word shingles have it set in their XXH64.
-Equal fingerprints collapse first. Two that differ in at most ``d`` of 64 bits agree on ``m - d`` of
-any ``m`` blocks (pigeonhole), so each fingerprint meets others under the keys made of ``m - d`` blocks,
-and all meetings are complete. Inside a meeting the distances to the reference fingerprints
-(pivots) decide: by the triangle inequality a pair whose distances to one pivot differ by more than d
-is further apart than d. The table is sorted by the first pivot, so a fingerprint is compared with a window of
+Equal fingerprints collapse first. For each one left a table holds its Hamming distances to the reference fingerprints (pivots); it is
+computed and written once, and its rows travel with the fingerprints. By the triangle inequality a pair whose distances to one pivot differ by more
+than ``d`` is further apart than d. Distances to pivots of random bits lie close together, so alone they would compare a share of all pairs that
+doesn't shrink; as a supplement, a pair within d of 64 bits agrees on ``m - d`` of any ``m`` blocks of bits (pigeonhole), so the table is read in parts
+that agree on so many blocks, and these meetings are complete. Each is sorted by the first coordinate, so a fingerprint is compared with a window of
 it only; the largest coordinate difference discards most pairs left, and the survivors are verified by counting bits.
 
 No meeting emits its pairs: it emits one link from each member to the smallest one it is connected to there.
@@ -88,12 +88,23 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _meet(fp: np.ndarray, start: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smallest connected member), by index, of runs of ``fp``; start: of its run, for each member."""
-    first = np.bitwise_count(fp ^ PIVOTS[0]).astype(np.int64)
-    order = np.lexsort((first, start))
-    fp, first, start = fp[order], first[order], start[order]
-    rest = np.bitwise_count(fp[:, None] ^ PIVOTS[None, 1:]).astype(np.int8)
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """fp and pivots (a byte for each reference fingerprint: the distance to it) of the distinct fingerprints ``fps``, written."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            table = np.bitwise_count(b.column(0).to_numpy().view(np.uint64)[:, None] ^ PIVOTS[None, :])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in table], pa.binary())], ["fp", "pivots"])
+
+    ship(fps.sparkSession)
+    return materialize(fps.select("fp").mapInArrow(batches, "fp long, pivots binary"))
+
+
+def _meet(fp: np.ndarray, table: np.ndarray, start: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, smallest connected member), by index, of runs of ``fp`` with their pivot distances; start: of its run, for each member."""
+    order = np.lexsort((table[:, 0], start))
+    fp, start = fp[order], start[order]
+    first, rest = table[order, 0].astype(np.int64), table[order, 1:].astype(np.int8)
     left, right = [], []
     alive = np.arange(len(fp))
     for shift in range(1, len(fp)):
@@ -122,14 +133,14 @@ def _meet(fp: np.ndarray, start: np.ndarray, d: int) -> tuple[np.ndarray, np.nda
 
 
 def _links(d: int, cap: int | None):
-    """Reads (k, key, fp) in the order of (k, key). Gives links (a, b, null), and for members of meetings over ``cap`` (a, null, meeting)."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("meeting", pa.int64())])
+    """Reads (k, key, fp, pivots) in the order of (k, key). Gives links (a, b), and for members of meetings over ``cap`` (a, meeting, pivots)."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("meeting", pa.int64()), ("pivots", pa.binary())])
 
-    def over(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def over(k: np.ndarray, key: np.ndarray, fp: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
         name = (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(name.view(np.int64))], schema=kind)
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(name.view(np.int64)), pa.array([r.tobytes() for r in table], pa.binary())], schema=kind)
 
-    def work(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(k: np.ndarray, key: np.ndarray, fp: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1])])
         size = np.diff(np.r_[at, len(fp)])
         start, size = np.repeat(at, size), np.repeat(size, size)
@@ -137,16 +148,16 @@ def _links(d: int, cap: int | None):
         small = (size > 1) & ~large
         if small.any():
             f = fp[small]
-            x, y = _meet(f.view(np.uint64), start[small], d)
-            yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y]), pa.nulls(len(x), pa.int64())], schema=kind)
+            x, y = _meet(f.view(np.uint64), table[small], start[small], d)
+            yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y]), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], schema=kind)
         if large.any():
-            yield over(k[large], key[large], fp[large])
+            yield over(k[large], key[large], fp[large], table[large])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         passing = None  # the key of a meeting that is known to be over the cap; its rows pass through
         for b in it:
-            cols = [b.column(i).to_numpy() for i in range(3)]
+            cols = [*(b.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, len(PIVOTS))]
             if kept is not None:
                 cols, kept = [np.concatenate(p) for p in zip(kept, cols, strict=True)], None
             if passing is not None:
@@ -158,11 +169,11 @@ def _links(d: int, cap: int | None):
             if not len(cols[0]):
                 continue
             passing = None
-            k, key, fp = cols
+            k, key, fp, table = cols
             last = np.flatnonzero((k != k[-1]) | (key != key[-1]))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
-                yield from work(k[:cut], key[:cut], fp[:cut])
+                yield from work(k[:cut], key[:cut], fp[:cut], table[:cut])
             tail = [x[cut:] for x in cols]
             if cap and len(fp) - cut > cap:
                 passing = (k[-1], key[-1])
@@ -177,15 +188,14 @@ def _links(d: int, cap: int | None):
 
 def links(fps: DataFrame, d: int, cap: int = CAP) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fps`` (fp) that connect all pairs within ``d`` bits."""
-    ship(fps.sparkSession)
-    members, out = fps.select("fp", F.lit(0).cast("long").alias("meeting")), None
+    members, out = pivot_table(fps).select("fp", F.lit(0).cast("long").alias("meeting"), "pivots"), None
     for level in range(LEVELS + 1):
         keys = [F.struct(F.xxhash64("meeting", F.lit(i)).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_masks(d, level))]
-        met = members.select("fp", F.inline(F.array(*keys))).select("k", "key", "fp").repartition("k", "key").sortWithinPartitions("k", "key")
-        found = materialize(met.mapInArrow(_links(d, cap if level < LEVELS else None), "a long, b long, meeting long"))
+        met = members.select("fp", "pivots", F.inline(F.array(*keys))).select("k", "key", "fp", "pivots").repartition("k", "key").sortWithinPartitions("k", "key")
+        found = materialize(met.mapInArrow(_links(d, cap if level < LEVELS else None), "a long, b long, meeting long, pivots binary"))
         own = found.where("b is not null").select("a", "b")
         out = own if out is None else out.union(own)
-        members = found.where("meeting is not null").select(F.col("a").alias("fp"), "meeting")
+        members = found.where("meeting is not null").select(F.col("a").alias("fp"), "meeting", "pivots")
         if not members.limit(1).count():
             break
     return out.distinct()

@@ -449,45 +449,67 @@ def test_pii_short_values_and_letters_only(spark):
 # 7 decontamination
 
 
-def test_decontamination(spark, empty):
+def least_distance(p, t):
+    """Edits between p and the closest stretch of t, by the whole table."""
+    p, t = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (p, t))
+    at, prev = np.arange(len(t) + 1), np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(p):
+        cur = np.minimum(np.r_[i + 1, prev[:-1] + (t != c)], np.r_[i + 1, prev[1:] + 1])
+        prev = np.minimum.accumulate(cur - at) + at
+    return int(prev.min())
+
+
+def brute_matches(texts, items, rate=decontam.RATE):
+    want = {}
+    for i, t in texts.items():
+        t = decontam.normal(t or "")
+        for k, p in items:
+            p = decontam.normal(p or "")
+            if 0 < len(p) < decontam.MIN_CHARS:
+                if f" {p} " in f" {t} ":
+                    want[i, k] = 0
+            elif p and t and (e := least_distance(p, t)) <= int(rate * len(p)):
+                want[i, k] = e
+    return want
+
+
+@pytest.mark.parametrize("one_slice", [True, False])
+def test_decontamination(spark, empty, one_slice, monkeypatch):
+    if not one_slice:
+        monkeypatch.setattr(decontam, "SLICE", 50)
+        monkeypatch.setattr(decontam, "PART", 2000)
     r = random.Random(20)
     words = made(21, 1, 3000)[0].split()
-    items = [(i, " ".join(r.sample(words, r.randint(8, 40)))) for i in range(30)] + [(90, None), (91, "short"), (92, "")]
-    texts, want = {}, collections.defaultdict(set)
+    items = [(i, " ".join(r.sample(words, r.randint(8, 40)))) for i in range(30)] + [(90, None), (91, "short"), (92, ""), (93, "x" * 300), (94, "xy" * 100), (95, "a few  Words"), (96, "a" * 29)]
+    items += [(97, items[3][1]), (None, items[4][1])]
+    texts = {}
     for i in range(60):
-        k, edits = r.randrange(30), r.choice([0, 0, 2, 60])
+        k, edits = r.randrange(30), r.choice([0, 0, 2, 5, 9, 60])
         x = list(items[k][1])
         for _ in range(edits):
-            x[r.randrange(len(x))] = r.choice("abcdefgh")
+            at = r.randrange(len(x))
+            x[at : at + 1] = r.choice([[], [r.choice("abcdefgh")], [x[at], "q"]])
         texts[i] = " ".join(r.sample(words, 100)) + "  " + "".join(x).upper() + "\n" + " ".join(r.sample(words, 50))
-    texts |= {200: None, 201: "", 202: "x" * 200_000, 203: items[5][1]}
-
-    def distance(p, t):
-        prev = [0] * (len(t) + 1)
-        for c in p:
-            cur = [prev[0] + 1]
-            for j, y in enumerate(t):
-                cur.append(min(prev[j] + (c != y), prev[j + 1] + 1, cur[j] + 1))
-            prev = cur
-        return min(prev)
-
+    texts |= {200: None, 201: "", 202: "x" * 3000, 203: items[5][1], 204: "xy" * 500 + "z" + "x" * 280, 205: "so short, short\nA FEW words more", 206: "shorts fewwords", 207: "x" * 282}
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontam.matches(docs(spark, texts, clash=True), bench).collect()
+    rows = [x for d in (docs(spark, texts, clash=True),) for x in decontam.matches(d, bench).select("doc_id", "item_id", "edits").collect()]
     got = {(x.doc_id, x.item_id): x.edits for x in rows}
-    for i, t in texts.items():
-        if t and len(t) < 5000:
-            for k, p in items[:30]:
-                p = decontam.normal(p)
-                # words of the item all over the text would be needed for a match elsewhere: only likely ones are tried
-                if (i, k) in got or p[: len(p) // 3] in decontam.normal(t) or p[-len(p) // 3 :] in decontam.normal(t):
-                    e = distance(p, decontam.normal(t))
-                    if e <= int(decontam.RATE * len(p)) and len(p) >= decontam.MIN_CHARS:
-                        want[i, k] = e
-    assert got == dict(want) and (203, 5) in got
+    want = brute_matches(texts, items)
+    assert got == want and len(rows) == len(got)
+    assert (203, 5) in got and (202, 93) in got and (207, 93) in got and (205, 95) in got and (205, 91) in got and not any(i == 206 for i, _ in got)
     assert decontam.matches(empty, bench).count() == 0
     assert decontam.matches(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_repeated_rows(spark):
+    r = random.Random(23)
+    item = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    rows = [(None, f"one {item}"), (None, "clean"), (7, f"two {item}"), (7, f"two {item}"), (7, "clean")]
+    out = decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id or -1, x.item_id, x.edits) for x in out) == [(-1, 1, 0), (-1, 2, 0), (7, 1, 0), (7, 1, 0), (7, 2, 0), (7, 2, 0)]
+    assert len({x.text_hash for x in out}) == 2
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(i, t) for i, t in enumerate(made(22, 12, 80)) if len(t) > 60]
     df, bench = docs(spark, [f"before {t} after" for _, t in items]), spark.createDataFrame(items, "item_id long, text string")
