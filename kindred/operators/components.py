@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.sources.storage import materialize
+from kindred.sources.storage import discard, materialize
 
 
 def _toward(edges: DataFrame, u: str, v: str) -> DataFrame:
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         nxt = materialize(small.union(down.select(F.col("u").alias("x"), F.col("m").alias("y"))).distinct())
         n = nxt.agg(F.count(F.lit(1)), F.count_distinct("x")).first()
         inner = nxt.select("x").join(nxt.select(F.col("y").alias("x")).distinct(), "x", "left_semi").limit(1).count()
+        discard(least, large, down, e)
         e = nxt
         if n[0] == n[1] and not inner:  # a star for each component
             break

@@ -10,18 +10,23 @@ import tempfile
 import time
 import uuid
 import zipfile
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+#: What removes the written tables at the end, by path.
+_removals: dict[str, partial] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a local one if all runs in one process (tests), and else an error: executors don't share the driver's disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="kindred-"))
         atexit.register(shutil.rmtree, _local[0], True)
@@ -47,13 +52,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again.
 
     Unlike localCheckpoint the files outlive a lost executor; later plans start from them, so
-    whatever is used twice is computed once. They are removed when the driver ends.
+    whatever is used twice is computed once. They are removed by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _removals[path] = partial(_remove, spark, path)
+    atexit.register(_removals[path])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kindred_path = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Removes tables made by ``materialize`` that no later plan reads. Others and None are ignored."""
+    for df in written:
+        path = getattr(df, "_kindred_path", None)
+        if path:
+            atexit.unregister(_removals.pop(path))
+            _remove(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

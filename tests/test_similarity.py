@@ -26,7 +26,9 @@ def test_known_values():
     assert S.token_sort_of("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 1
     assert S.token_set_of("fuzzy was a bear", "fuzzy fuzzy was a bear") == 1
     assert S.partial_of("this is a test", "this is a test!") == 1
-    assert S.weighted_of("this is a test", "this is a new test!!!") == pytest.approx(0.95)
+    # no preprocessor: "test!!!" is another word than "test"
+    assert S.weighted_of("this is a test", "this is a new test!!!") == pytest.approx(0.855)
+    assert S.weighted_of("this is a test", "this is a new test") == pytest.approx(0.95)
     assert S.weighted_of("", "x") == 0 and S.ratio_of("", "") == 1
 
 
