@@ -80,6 +80,33 @@ def test_edited_copies(spark):
     assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {find(i) for i in texts}
 
 
+def test_rows_without_own_ids(spark, tmp_path):
+    """Null and shared ids, repeated rows and an extra column: each row is judged for itself, and no clean text is lost."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    text = lambda n=60: " ".join(r.sample(words, n))
+    leak, clean = " ".join(r.sample(words, 20)), [text() for _ in range(8)]
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[2]), (5, clean[3]), (5, clean[4]), (5, "bad"), (None, "bad"), (None, None), (5, None)]
+    rows += [(None, text() + " " + leak), (5, text() + " " + leak), (6, clean[5]), (6, clean[5]), (None, clean[6]), (9, clean[6]), (None, clean[7]), (None, clean[7] + " x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_hash string"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own") for i, t in rows], schema)
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, words[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out/{k}")
+        assert docs.columns == df.columns
+    got = [(x.doc_id, x.text) for x in docs.collect()]
+    assert len(got) == len(set(got)) == 8
+    assert set(got) - {(None, clean[7]), (None, clean[7] + " x")} == {(None, clean[0]), (None, clean[1]), (None, clean[2]), (5, clean[3]), (5, clean[4]), (6, clean[5]), (9, clean[6])}
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_registered():
     import __spark_entry__ as e
 
