@@ -1,125 +1,263 @@
-"""Masked pseudo-likelihood of documents under a small bidirectional network.
+"""Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
-Tokens are lower-case words: the ``VOCABULARY`` most frequent of the whole corpus (ties by word), the others one of ``HASHED``
-shared tokens. The network sees ``WINDOW`` tokens on either side of a masked place, each through a table of its own for that offset, adds
-them up, takes tanh, and predicts the token in two steps: its class (softmax over ``CLASSES`` classes of about equal frequency), then
-the token within the class (by frequency). A document's score is the sum of ln p(token | both sides) over all its places.
+A word is a run of word characters or one other mark, lower-cased, known by its 64-bit hash. Words of the corpus are counted, all of them; the table of counts stays
+distributed and grows with the corpus. The ``V`` most frequent words (V grows with the corpus, from LEAST to MOST; ties by hash) are tokens of
+their own, the others share V / 8 tokens by their hash. For each place the network sees the tokens of WINDOW places on either side, not the place itself: their vectors,
+each scaled by a vector of its offset, are added up, and tanh of that gives a softmax over CLASSES classes and a softmax over the tokens in the class, both learned. A word of a
+shared token has the token's probability times its share by the counts, (n + 1/2) / (N + (kinds + 1) / 2), where the last half is for words never seen. So the
+probabilities of all words sum to one in each context. A document's score is the sum of ln p(word | both sides) over all its places.
 
-Counts come from all documents. Each round masks one place in ``MASK`` of every document (a rule on its position and the round), other ones in each of MASK rounds,
-so every place of the corpus is a target: each partition runs Adagrad on its places from the common parameters and sends what it reached; parameters are averaged with the number
-of updates that each row had as weight (iterative parameter mixing), for ``ROUNDS`` rounds. What the driver holds is the vocabulary and one set of
-parameters, bounded by the constants here, and so is what is sent to the executors. Sums are taken in a fixed order and a partition's
-result depends on its rows only, so a recomputed task gives the same.
+Training: each of ROUNDS rounds takes the documents with one remainder of a hash, all places of each; so in ROUNDS rounds every place of the corpus was predicted once.
+Documents are dealt by a hash into shards of about SHARD words, whatever the cluster; each shard runs Adagrad from the common parameters in the order of a hash,
+and the results are averaged with the number of updates of each row as weight (iterative parameter mixing), in groups of MIXED. So results depend on the
+corpus, not on partitions, up to rounding. What the driver holds and sends is one set of parameters and at most 9/8 MOST tokens.
 
-Null, empty and word-less texts have no places: n_tokens 0, score 0 and a null mean. Repeated rows get equal scores. An empty table gives no rows.
+Null, empty and word-less texts have no places: n_tokens 0, score 0 and a null mean. Repeated rows get equal scores; each row gives a row. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.sources.storage import materialize, ship
+from kindred.sources.storage import discard, materialize, ship
 
-VOCABULARY, HASHED, CLASSES, WINDOW, WIDTH = 4096, 512, 48, 2, 16
-MASK, ROUNDS, BATCH, RATE = 2, 2, 1024, 0.1
-#: Distinct words that a counting task holds before it gives them out.
-COUNTED = 200_000
+#: Tokens of their own, and corpus words for each.
+LEAST, MOST, WORDS_EACH = 4096, 32_768, 8192
+CLASSES, WINDOW, WIDTH = 48, 2, 16
+ROUNDS, RATE, SHARD, MIXED = 2, 0.1, 2_000_000, 64
+#: Places of one step, between these by the size of the corpus.
+BATCH = (256, 4096)
 WORD = re.compile(r"\w+|[^\w\s]")
-#: Shared tokens' words that a worker remembers.
+#: Words whose hash a worker remembers.
 KNOWN = 300_000
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
 
+class _Hashes(dict):
+    """Hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < KNOWN:
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
+
+
+def read(text: str | None) -> np.ndarray:
+    """The hashes of a text's words."""
+    words = WORD.findall((text or "").lower())
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).view(np.int64)
+
+
+def tokenise(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id and words (eight bytes for each) of each row, written once for all passes."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([read(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "words"])
+
+    ship(docs.sparkSession)
+    words = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, words binary")
+    return materialize(words.select(F.monotonically_increasing_id().alias("row"), "doc_id", "words"))
+
+
 class Tokens:
-    """Ids: 0 outside of a text, 1 to V the vocabulary, then the hashed ones."""
-
-    def __init__(self, counts: list[tuple[str, int]], rest: int):
-        self.ids = _Ids((w, i) for i, (w, _) in enumerate(counts, 1))
-        self.size = 1 + VOCABULARY + HASHED
-        n = np.zeros(self.size)
-        n[1 : len(counts) + 1] = [c for _, c in counts]
-        n[1 + VOCABULARY :] = max(rest, 1) / HASHED
-        n[1:] += 0.5  # every token keeps some probability
-        n[0] = 0
-        order = np.argsort(-n, kind="stable")
-        mass = np.cumsum(np.sqrt(n[order]))
-        self.group = np.zeros(self.size, np.int32)
-        self.group[order] = np.minimum((mass - 1e-9) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int32)
-        total = np.bincount(self.group, n, CLASSES)
+    """Ids: 0 outside of a text, then tokens by falling frequency, so that a class is a range of ids."""
+
+    def __init__(self, top: list[tuple[int, int]], shared: int, rest: dict[int, tuple[int, int]], total: int, counts: DataFrame | None = None):
+        """top: (word, count) of the tokens of their own; shared: number of the others; rest: (count, kinds) of them."""
+        self.counts, self.total, self.shared = counts, total, shared
+        words, n = (np.array([x[i] for x in top], np.int64) for i in (0, 1))
+        others, kinds = (np.array([rest.get(b, (0, 0))[i] for b in range(shared)], np.int64) for i in (0, 1))
+        self.denominator = np.log(others + (kinds + 1) / 2)
+        count = np.r_[n, others] + 0.5  # every token keeps some probability
+        order = np.argsort(-count, kind="stable")
+        ids = np.empty(len(order), np.int64)
+        ids[order] = np.arange(1, len(order) + 1)
+        sort = np.argsort(words, kind="stable")
+        self.words, self.ids, self.other_ids = words[sort], ids[: len(words)][sort], ids[len(words) :]
+        self.size = 1 + len(order)
+        count = np.r_[0.0, count[order]]
+        mass = np.cumsum(np.sqrt(count[1:]))
+        group = np.minimum((mass - 1e-9) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int64)
+        #: First id of each class, and the end.
+        self.edges = 1 + np.searchsorted(group, np.arange(CLASSES + 1))
+        self.group = np.r_[0, group].astype(np.int32)
+        in_class = np.bincount(self.group[1:], count[1:], CLASSES)
+        self.class_bias = np.log((in_class + 1e-9) / in_class.sum()).astype(np.float32)
         with np.errstate(divide="ignore"):
-            self.inside = np.log(n / total[self.group]).astype(np.float32)
-        self.bias = np.log((total + 1e-9) / total.sum()).astype(np.float32)
+            self.member_bias = np.where(count > 0, np.log(count), 0).astype(np.float32)
 
-    def read(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
-        return np.fromiter(map(self.ids.__getitem__, words), np.uint16, len(words))
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
 
+    @property
+    def batch(self) -> int:
+        return min(BATCH[1], max(BATCH[0], self.total // 512))
 
-class _Ids(dict):
-    """Ids of the vocabulary; other words get theirs by a hash."""
+    def encode(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and the words that share tokens."""
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            own = self.words[at] == words
+            out = self.ids[at]
+        else:
+            own, out = np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        rest = words[~own]
+        out[~own] = self.other_ids[self.bucket(rest)]
+        return out.astype(np.uint16), rest
 
-    def __missing__(self, word: str) -> int:
-        i = 1 + VOCABULARY + crc32(word.encode("utf-8", "surrogatepass")) % HASHED
-        if len(self) < KNOWN:
-            self[word] = i
-        return i
+    def bucket(self, words: np.ndarray) -> np.ndarray:
+        return (words.view(np.uint64) % np.uint64(self.shared)).astype(np.int64)
+
+
+def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def given() -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    for b in it:
+        for x in b.column(0):
+            held.append(np.frombuffer(x.as_buffer(), np.int64))
+            size += len(held[-1])
+            if size >= 1 << 22:
+                yield given()
+                held, size = [], 0
+    if held:
+        yield given()
+
+
+def vocabulary(words: DataFrame) -> Tokens:
+    """The tokens of tokenised documents, from the counts of all their words."""
+    ship(words.sparkSession)
+    counts = materialize(words.select("words").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    own = min(MOST, max(LEAST, total // WORDS_EACH))
+    shared = own // 8
+    top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(own).collect()]
+    least = top[-1] if top else (0, 0)
+    others = counts.where((F.col("n") < least[1]) | ((F.col("n") == least[1]) & (F.col("word") > least[0])))
+    # an unsigned remainder of the 64-bit hash: the high bit is worth 2**63
+    bucket = F.pmod(F.col("word").bitwiseAND(2**63 - 1) % shared + F.when(F.col("word") < 0, 2**63 % shared).otherwise(0), F.lit(shared))
+    rest = {r.b: (r.n, r.kinds) for r in others.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
+    return Tokens(top, shared, rest, total, counts)
+
+
+def encode(words: DataFrame, tokens: Tokens) -> DataFrame:
+    """row, doc_id, ids (two bytes for each token), share (ln of what shared tokens are divided by, negative), and the words that share tokens with their numbers; written."""
+    sent = words.sparkSession.sparkContext.broadcast(tokens)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: Tokens = sent.value
+        for b in it:
+            ids, share, rare, many = [], [], [], []
+            for x in b.column(2):
+                i, rest = t.encode(np.frombuffer(x.as_buffer(), np.int64))
+                ids.append(i.tobytes())
+                share.append(-float(t.denominator[t.bucket(rest)].sum()))
+                w, n = np.unique(rest, return_counts=True)
+                rare.append(w)
+                many.append(n.astype(np.int32))
+            columns = [b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(share, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "ids", "share", "rare", "many"])
+
+    return materialize(words.mapInArrow(batches, "row long, doc_id long, ids binary, share double, rare array<long>, many array<int>"))
 
 
 class Network:
-    """Parameters: a table for each offset (tokens x width), class weights and biases."""
+    """Parameters: token vectors, a scale for each offset, class weights and biases, member vectors and biases."""
 
     def __init__(self, tokens: Tokens, arrays: list[np.ndarray] | None = None):
         self.tokens = tokens
         if arrays is None:
             rng = np.random.default_rng(1)
-            tables = rng.normal(0, 0.1, (len(OFFSETS), tokens.size, WIDTH)).astype(np.float32)
-            arrays = [*tables, rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), tokens.bias.copy()]
+            draw = lambda mean, *shape: rng.normal(mean, 0.1, shape).astype(np.float32)
+            arrays = [draw(0, tokens.size, WIDTH), draw(1, len(OFFSETS), WIDTH), draw(0, WIDTH, CLASSES), tokens.class_bias.copy(), draw(0, tokens.size, WIDTH), tokens.member_bias.copy()]
         self.arrays = arrays
-        self.ones = np.ones(CLASSES, arrays[-2].dtype)
-
-    def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x = self.arrays[0].take(ids[at + OFFSETS[0]], 0)
-        for table, o in zip(self.arrays[1 : len(OFFSETS)], OFFSETS[1:], strict=True):
-            x += table.take(ids[at + o], 0)
-        return np.tanh(x, out=x)
-
-    def forward(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and class log-probabilities. ids: padded with WINDOW zeros on either side; at: places in it."""
-        hidden = self._hidden(ids, at)
-        logits = hidden @ self.arrays[-2] + self.arrays[-1]
-        logits -= logits.max(1, keepdims=True)
-        return hidden, logits - np.log(np.exp(logits).sum(1, keepdims=True))
+
+    def _hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of all ids, and hidden values of all but the first and last WINDOW of them."""
+        e = self.arrays[0].take(ids, 0)
+        n = len(ids) - 2 * WINDOW
+        x = e[WINDOW + OFFSETS[0] :][:n] * self.arrays[1][0]
+        for o, scale in zip(OFFSETS[1:], self.arrays[1][1:], strict=True):
+            x += e[WINDOW + o :][:n] * scale
+        return e, np.tanh(x, out=x)
+
+    def _classes(self, target: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """For each class that has targets: which of them, and the range of its ids."""
+        group = self.tokens.group[target]
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=CLASSES))
+        for g, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+            if hi > lo:
+                yield order[lo:hi], int(self.tokens.edges[g]), int(self.tokens.edges[g + 1])
 
     def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        logits = self._hidden(ids, at) @ self.arrays[-2] + self.arrays[-1]
-        if np.abs(self.arrays[-2]).sum(0).max() + np.abs(self.arrays[-1]).max() > 80:  # hidden values are within 1
-            logits -= logits.max(1, keepdims=True)
-        token = ids[at]
-        own = logits[np.arange(len(at)), self.tokens.group[token]]
-        return own - np.log(np.exp(logits) @ self.ones) + self.tokens.inside[token]
-
-    def gradients(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-        """Of the mean negative log-probability: (rows, values) for each table, then class weights and biases."""
-        hidden, classes = self.forward(ids, at)
-        d = np.exp(classes)
-        d[np.arange(len(at)), self.tokens.group[ids[at]]] -= 1
+        """ln p of the tokens at the places. ids: padded with WINDOW zeros on either side; at: places in it."""
+        _, _, weights, bias, members, member_bias = self.arrays
+        hidden = self._hidden(ids)[1][at - WINDOW]
+        target = ids[at].astype(np.int64)
+        logits = hidden @ weights + bias
+        logits -= logits.max(1, keepdims=True)
+        out = logits[np.arange(len(at)), self.tokens.group[target]]
+        out -= np.log(np.exp(logits, out=logits).sum(1))
+        for pick, a, b in self._classes(target):
+            inside = hidden[pick] @ members[a:b].T + member_bias[a:b]
+            inside -= inside.max(1, keepdims=True)
+            out[pick] += inside[np.arange(len(pick)), target[pick] - a]
+            out[pick] -= np.log(np.exp(inside, out=inside).sum(1))
+        return out
+
+    def gradients(self, ids: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """Of the mean of -ln p: (number of the array, rows, values)."""
+        vectors, scales, weights, bias, members, member_bias = self.arrays
+        e, everywhere = self._hidden(ids)
+        hidden = everywhere[at - WINDOW]
+        target = ids[at].astype(np.int64)
+        d = hidden @ weights + bias
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(1, keepdims=True)
+        d[np.arange(len(at)), self.tokens.group[target]] -= 1
         d /= len(at)
-        back = (d @ self.arrays[-2].T) * (1 - hidden * hidden)
-        tables = []
-        for o in OFFSETS:
-            rows = ids[at + o]
-            order = np.argsort(rows, kind="stable")
-            values, first = np.unique(rows[order], return_index=True)
-            tables.append((values, np.add.reduceat(back[order], first, axis=0)))
-        return tables, hidden.T @ d, d.sum(0)
+        out = [(2, slice(None), hidden.T @ d), (3, slice(None), d.sum(0))]
+        back = d @ weights.T
+        for pick, a, b in self._classes(target):
+            if b - a > 1:
+                h = hidden[pick]
+                inside = h @ members[a:b].T + member_bias[a:b]
+                inside -= inside.max(1, keepdims=True)
+                np.exp(inside, out=inside)
+                inside /= inside.sum(1, keepdims=True)
+                inside[np.arange(len(pick)), target[pick] - a] -= 1
+                inside /= len(at)
+                out += [(4, slice(a, b), inside.T @ h), (5, slice(a, b), inside.sum(0))]
+                back[pick] += inside @ members[a:b]
+        back *= 1 - hidden * hidden
+        full = np.zeros_like(everywhere)
+        full[at - WINDOW] = back
+        n = len(full)
+        by_place, by_offset = np.zeros_like(e), np.empty_like(scales)
+        for k, o in enumerate(OFFSETS):
+            by_place[WINDOW + o :][:n] += full * scales[k]
+            by_offset[k] = (full * e[WINDOW + o :][:n]).sum(0)
+        order = np.argsort(ids, kind="stable")
+        rows, first = np.unique(ids[order], return_index=True)
+        return [*out, (0, rows, np.add.reduceat(by_place[order], first, axis=0)), (1, slice(None), by_offset)]
 
 
 class Trainer:
@@ -131,30 +269,16 @@ class Trainer:
         self.updates = [np.zeros(len(a), np.float32) for a in net.arrays]
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
-        tables, weights, bias = self.net.gradients(ids, at)
-        everything = [*tables, (slice(None), weights), (slice(None), bias)]
-        for a, s, u, (rows, g) in zip(self.net.arrays, self.squares, self.updates, everything, strict=True):
+        for k, rows, g in self.net.gradients(ids, at):
+            s = self.squares[k]
             s[rows] += g * g
-            a[rows] -= self.rate * g / np.sqrt(s[rows])
-            u[rows] += 1
+            self.net.arrays[k][rows] -= self.rate * g / np.sqrt(s[rows])
+            self.updates[k][rows] += 1
 
 
-def _batches(column: pa.Array, places: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Encoded texts one after another with WINDOW zeros around each: ids, where each text begins, its number of tokens."""
+def _joined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after another with WINDOW zeros around each; where each begins, and its size."""
     pad = np.zeros(WINDOW, np.uint16)
-    held: list[np.ndarray] = []
-    total = 0
-    for t in column:
-        held.append(np.frombuffer(t.as_buffer(), np.uint16))
-        total += len(held[-1])
-        if total >= places:
-            yield _joined(held, pad)
-            held, total = [], 0
-    if held:
-        yield _joined(held, pad)
-
-
-def _joined(held: list[np.ndarray], pad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in held])
     begin = np.cumsum(np.r_[0, size[:-1] + WINDOW]) + WINDOW
     return np.concatenate([pad, *(y for x in held for y in (x, pad))]), begin, size
@@ -164,114 +288,91 @@ def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _targets(begin: np.ndarray, size: np.ndarray, mask: int, turn: int) -> np.ndarray:
-    """The places masked in a round; those of ``mask`` rounds in a row are all places."""
+def _steps(texts: list[np.ndarray], batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of joined texts with about ``batch`` places each: ids and places in them."""
+    ids, begin, size = _joined(texts)
     at = _places(begin, size)
-    inside = at - np.repeat(begin, size)
-    return at[(inside + np.repeat(size, size)) % mask == (mask // 2 + turn) % mask]
-
+    for lo in range(0, len(at), batch):
+        own = at[lo : lo + batch]
+        yield ids[own[0] - WINDOW : own[-1] + WINDOW + 1], own - own[0] + WINDOW
 
-def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
-
-    def given() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    for b in it:
-        for t in b.column(0):
-            counts.update(WORD.findall((t.as_py() or "").lower()))
-            if len(counts) >= COUNTED:
-                yield given()
-                counts.clear()
-    yield given()
+def _train(sent, rate: float):
+    """Reads (shard, ids) in the order of the shards; gives (part, node, sum, weight) for each shard and array."""
 
-
-def _train(sent, rate: float, mask: int, turn: int):
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Network = sent.value
-        trainer, waiting, ids, n = Trainer(net, rate), [], [], 0
-        begun = 0
-        for b in it:
-            for padded, begin, size in _batches(b.column(0), 1 << 16):
-                masked = _targets(begin, size, mask, turn)
-                waiting.append(masked + begun)
-                ids.append(padded)
-                begun += len(padded)
-                n += len(masked)
-                if n >= BATCH:
-                    whole, all_at = np.concatenate(ids), np.concatenate(waiting)
-                    for lo in range(0, len(all_at), BATCH):
-                        trainer.step(whole, all_at[lo : lo + BATCH])
-                    waiting, ids, n, begun = [], [], 0, 0
-        if n:
-            trainer.step(np.concatenate(ids), np.concatenate(waiting))
+    def given(shard: int, trainer: Trainer) -> Iterator[pa.RecordBatch]:
         for k, (a, u) in enumerate(zip(trainer.net.arrays, trainer.updates, strict=True)):
             if u.any():  # rows times their weight, and the weights
                 wide = (a.reshape(len(a), -1) * u[:, None]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([wide.tobytes()]), pa.array([u.tobytes()])], ["part", "sum", "weight"])
-
-    return batches
-
-
-def _mix(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The sum of what partitions sent for one array, in a fixed order."""
-    rows = sorted((w.as_buffer().to_pybytes(), s.as_buffer().to_pybytes()) for w, s in zip(table["weight"], table["sum"], strict=True))
-    total = sum((np.frombuffer(s, np.float32).astype(np.float64) for _, s in rows))
-    weight = sum((np.frombuffer(w, np.float32).astype(np.float64) for w, _ in rows))
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sum": [total.tobytes()], "weight": [weight.tobytes()]})
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([shard], pa.int64()), pa.array([wide.tobytes()]), pa.array([u.tobytes()])], ["part", "node", "sum", "weight"])
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net: Network = sent.value
+        size = net.tokens.batch
+        shard, trainer, texts, n = None, None, [], 0
 
-def vocabulary(docs: DataFrame) -> Tokens:
-    """The tokens of these documents, from the counts of all their words."""
-    ship(docs.sparkSession)
-    counts = materialize(docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    return Tokens(top, total - sum(n for _, n in top))
+        def learn() -> None:
+            for ids, at in _steps(texts, size):
+                trainer.step(ids, at)
 
+        for b in it:
+            for now, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if now != shard:
+                    if texts:
+                        learn()
+                    if trainer is not None:
+                        yield from given(shard, trainer)
+                    shard, trainer, texts, n = now, Trainer(net, rate), [], 0
+                texts.append(np.frombuffer(x.as_buffer(), np.uint16))
+                n += len(texts[-1])
+                if n >= 8 * size:
+                    learn()
+                    texts, n = [], 0
+        if texts:
+            learn()
+        if trainer is not None:
+            yield from given(shard, trainer)
 
-def encode(docs: DataFrame, tokens: Tokens) -> DataFrame:
-    """doc_id and ids (two bytes for each token) of each row, written once for all passes."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+    return batches
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids = pa.array([sent.value.read(t.as_py()).tobytes() for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, ids binary"))
+def _mix(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The sum of what up to MIXED shards (or groups of them) sent for one array, in a fixed order."""
+    rows = sorted(zip(table["node"].to_pylist(), table["sum"], table["weight"], strict=True), key=lambda r: r[0])
+    total, weight = (sum(np.frombuffer(r[i].as_buffer(), np.float32).astype(np.float64) for r in rows) for i in (1, 2))
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "node": pa.array([key[1].as_py()], pa.int64()), "sum": [total.astype(np.float32).tobytes()], "weight": [weight.astype(np.float32).tobytes()]})
 
 
-def train(encoded: DataFrame, tokens: Tokens, rounds: int = ROUNDS, mask: int = MASK) -> Network:
-    """The network for encoded documents; one place in ``mask`` of each is trained on in a round."""
+def train(encoded: DataFrame, tokens: Tokens, rounds: int = ROUNDS, share: int = ROUNDS, shard: int = SHARD) -> Network:
+    """The network for encoded documents; a round trains on one in ``share`` of them, another one in each of ``share`` rounds."""
     context = encoded.sparkSession.sparkContext
-    net = Network(tokens)
+    ship(encoded.sparkSession)
+    net, kind = Network(tokens), "part int, node long, sum binary, weight binary"
+    shards = max(1, -(-tokens.total // (share * shard)))
+    hashed = encoded.where(F.length("ids") > 0).select("ids", F.xxhash64("doc_id", "ids").alias("h"))
+    hashed = hashed.select("ids", F.pmod("h", F.lit(share)).alias("turn"), F.pmod(F.shiftrightunsigned("h", 16), F.lit(shards)).alias("shard"), "h")
     for r in range(rounds):
         sent = context.broadcast(net)
-        kind = "part int, sum binary, weight binary"
-        # salted: a mixture of at most some hundred sets first, then of the mixtures
-        parts = encoded.select("ids").mapInArrow(_train(sent, RATE / (1 + r), mask, r), kind)
-        some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-        first = some.groupBy("part", "salt").applyInArrow(_mix_float, kind)
-        mixed = first.groupBy("part").applyInArrow(_mix, kind).collect()
+        own = hashed.where(F.col("turn") == r % share).repartition("shard").sortWithinPartitions("shard", "h")
+        nodes = own.select("shard", "ids").mapInArrow(_train(sent, RATE / (1 + r)), kind)
+        left = shards
+        while True:
+            nodes = nodes.withColumn("upper", F.floor(F.col("node") / MIXED)).groupBy("part", "upper").applyInArrow(_mix, kind)
+            left = -(-left // MIXED)
+            if left == 1:
+                break
         arrays = [a.copy() for a in net.arrays]
-        for m in mixed:
+        for m in nodes.collect():  # one row for each array
             a = arrays[m.part]
-            weight = np.frombuffer(bytes(m.weight), np.float64)
-            values = np.frombuffer(bytes(m.sum), np.float64).reshape(len(a), -1)
+            weight = np.frombuffer(bytes(m.weight), np.float32)
+            values = np.frombuffer(bytes(m.sum), np.float32).reshape(len(a), -1)
             hit = weight > 0
             a.reshape(len(a), -1)[hit] = values[hit] / weight[hit, None]
-        net = Network(net.tokens, arrays)
+        net = Network(tokens, arrays)
+        sent.unpersist()
     return net
 
 
-def _mix_float(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    out = _mix(key, table)
-    as32 = lambda c: [np.frombuffer(out[c][0].as_buffer(), np.float64).astype(np.float32).tobytes()]
-    return pa.table({"part": out["part"], "sum": as32("sum"), "weight": as32("weight")})
-
-
 def score(encoded: DataFrame, net: Network) -> DataFrame:
     """doc_id, n_tokens, score (sum of ln p) and mean_score of each encoded row."""
     sent = encoded.sparkSession.sparkContext.broadcast(net)
@@ -279,23 +380,26 @@ def score(encoded: DataFrame, net: Network) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = sent.value
         for b in it:
-            sums, sizes = [], []
-            for padded, begin, size in _batches(b.column(1), 1 << 14):
-                at = _places(begin, size)
-                log_p = np.concatenate([net.log_p(padded, at[lo : lo + 4096]).astype(np.float64) for lo in range(0, len(at), 4096)] or [np.empty(0)])
-                ends = np.r_[0.0, np.cumsum(log_p)]
-                last = np.cumsum(size)
-                sums.append(ends[last] - ends[last - size])
-                sizes.append(size)
-            n, s = (np.concatenate(x) if x else np.empty(0) for x in (sizes, sums))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(s.astype(np.float64))], ["doc_id", "n_tokens", "score"])
-
-    out = encoded.mapInArrow(batches, "doc_id long, n_tokens long, score double")
+            texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(2)]
+            log_p = [net.log_p(ids, at).astype(np.float64) for ids, at in _steps(texts, 1 << 14)] if texts else []
+            ends = np.r_[0.0, np.cumsum(np.concatenate([np.empty(0), *log_p]))]
+            size = np.array([len(x) for x in texts], np.int64)
+            last = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(ends[last] - ends[last - size])], ["row", "doc_id", "n_tokens", "known"])
+
+    known = encoded.select("row", "doc_id", "ids").mapInArrow(batches, "row long, doc_id long, n_tokens long, known double")
+    rare = encoded.select("row", F.inline(F.arrays_zip("rare", "many"))).withColumnRenamed("rare", "word")
+    met = rare.join(net.tokens.counts, "word", "left").groupBy("row").agg(F.sum(F.col("many") * F.log(F.coalesce("n", F.lit(0)) + 0.5)).alias("shares"))
+    base = encoded.select("row", "share")
+    total = F.col("known") + F.col("share") + F.coalesce("shares", F.lit(0.0))
+    out = known.join(base.join(met, "row", "left"), "row").select("doc_id", "n_tokens", total.alias("score"))
     return out.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
 
 
 def fit_score(docs: DataFrame) -> DataFrame:
     """The scores of documents under the network that is trained on them."""
-    tokens = vocabulary(docs)
-    encoded = encode(docs, tokens)
+    words = tokenise(docs)
+    tokens = vocabulary(words)
+    encoded = encode(words, tokens)
+    discard(words)
     return score(encoded, train(encoded, tokens))
