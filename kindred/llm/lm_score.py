@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 A word is a run of word characters or one other mark, lower-cased, known by its 64-bit hash. Words of the corpus are counted, all of them; the table of counts stays
-distributed and grows with the corpus. The ``V`` most frequent words (V grows with the corpus, from LEAST to MOST; ties by hash) are tokens of
-their own, the others share V / 8 tokens by their hash. For each place the network sees the tokens of WINDOW places on either side, not the place itself: their vectors,
+distributed and grows with the corpus. The VOCABULARY most frequent words (ties by hash) are tokens of
+their own, the others share VOCABULARY / 8 tokens by their hash. For each place the network sees the tokens of WINDOW places on either side, not the place itself: their vectors,
 each scaled by a vector of its offset, are added up, and tanh of that gives a softmax over CLASSES classes and a softmax over the tokens in the class, both learned. A word of a
 shared token has the token's probability times its share by the counts, (n + 1/2) / (N + (kinds + 1) / 2), where the last half is for words never seen. So the
 probabilities of all words sum to one in each context. A document's score is the sum of ln p(word | both sides) over all its places.
@@ -10,7 +10,7 @@ probabilities of all words sum to one in each context. A document's score is the
 Training: each of ROUNDS rounds takes the documents with one remainder of a hash, all places of each; so in ROUNDS rounds every place of the corpus was predicted once.
 Documents are dealt by a hash into shards of about SHARD words, whatever the cluster; each shard runs Adagrad from the common parameters in the order of a hash,
 and the results are averaged with the number of updates of each row as weight (iterative parameter mixing), in groups of MIXED. So results depend on the
-corpus, not on partitions, up to rounding. What the driver holds and sends is one set of parameters and at most 9/8 MOST tokens.
+corpus, not on partitions, up to rounding. What the driver holds and sends is one set of parameters and 9/8 VOCABULARY tokens.
 
 Null, empty and word-less texts have no places: n_tokens 0, score 0 and a null mean. Repeated rows get equal scores; each row gives a row. An empty table gives no rows.
 """
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from kindred.sources.storage import discard, materialize, ship
 
-#: Tokens of their own, and corpus words for each.
-LEAST, MOST, WORDS_EACH = 4096, 32_768, 8192
-CLASSES, WINDOW, WIDTH = 48, 2, 16
-ROUNDS, RATE, SHARD, MIXED = 2, 0.1, 2_000_000, 64
+#: Tokens of their own.
+VOCABULARY = 4096
+CLASSES, WINDOW, WIDTH = 32, 2, 16
+ROUNDS, RATE, SHARD, MIXED = 2, 0.1, 4_000_000, 64
 #: Places of one step, between these by the size of the corpus.
-BATCH = (256, 4096)
+BATCH = (256, 16_384)
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Words whose hash a worker remembers.
 KNOWN = 300_000
@@ -104,7 +104,7 @@ class Tokens:
 
     @property
     def batch(self) -> int:
-        return min(BATCH[1], max(BATCH[0], self.total // 512))
+        return min(BATCH[1], max(BATCH[0], self.total // 1024))
 
     def encode(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, and the words that share tokens."""
@@ -145,9 +145,8 @@ def vocabulary(words: DataFrame) -> Tokens:
     ship(words.sparkSession)
     counts = materialize(words.select("words").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    own = min(MOST, max(LEAST, total // WORDS_EACH))
-    shared = own // 8
-    top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(own).collect()]
+    shared = VOCABULARY // 8
+    top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
     least = top[-1] if top else (0, 0)
     others = counts.where((F.col("n") < least[1]) | ((F.col("n") == least[1]) & (F.col("word") > least[0])))
     # an unsigned remainder of the 64-bit hash: the high bit is worth 2**63
@@ -197,67 +196,80 @@ class Network:
             x += e[WINDOW + o :][:n] * scale
         return e, np.tanh(x, out=x)
 
-    def _classes(self, target: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """For each class that has targets: which of them, and the range of its ids."""
+    def _classes(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """Targets in the order of their classes, and for each class its range in that order and its range of ids."""
         group = self.tokens.group[target]
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=CLASSES))
-        for g, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
-            if hi > lo:
-                yield order[lo:hi], int(self.tokens.edges[g]), int(self.tokens.edges[g + 1])
+        ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
+        edges = self.tokens.edges.tolist()
+        ranges = [(lo, hi, edges[g], edges[g + 1]) for g, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
+        return np.argsort(group, kind="stable"), ranges
+
+    def _exp(self, hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, their exponentials and the sums of these for each row; the largest logit is taken off if it may be too large."""
+        logits = hidden @ weights
+        logits += bias
+        if not safe:
+            logits -= logits.max(1, keepdims=True)
+        powers = np.exp(logits)
+        return logits, powers, powers @ np.ones(powers.shape[1], powers.dtype)
+
+    def _safe(self) -> bool:
+        """Whether no logit can pass 80: hidden values are within 1."""
+        _, _, weights, bias, members, member_bias = self.arrays
+        return max(np.abs(weights).sum(0).max() + np.abs(bias).max(), np.abs(members).sum(1).max() + np.abs(member_bias).max()) < 80
 
     def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """ln p of the tokens at the places. ids: padded with WINDOW zeros on either side; at: places in it."""
         _, _, weights, bias, members, member_bias = self.arrays
-        hidden = self._hidden(ids)[1][at - WINDOW]
+        safe = self._safe()
         target = ids[at].astype(np.int64)
-        logits = hidden @ weights + bias
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(at)), self.tokens.group[target]]
-        out -= np.log(np.exp(logits, out=logits).sum(1))
-        for pick, a, b in self._classes(target):
-            inside = hidden[pick] @ members[a:b].T + member_bias[a:b]
-            inside -= inside.max(1, keepdims=True)
-            out[pick] += inside[np.arange(len(pick)), target[pick] - a]
-            out[pick] -= np.log(np.exp(inside, out=inside).sum(1))
+        order, ranges = self._classes(target)
+        target = target[order]
+        hidden = self._hidden(ids)[1][(at - WINDOW)[order]]
+        logits, _, sums = self._exp(hidden, weights, bias, safe)
+        got = logits[np.arange(len(at)), self.tokens.group[target]] - np.log(sums)
+        for lo, hi, a, b in ranges:
+            if b - a > 1:
+                inside, _, sums = self._exp(hidden[lo:hi], members[a:b].T, member_bias[a:b], safe)
+                got[lo:hi] += inside[np.arange(hi - lo), target[lo:hi] - a] - np.log(sums)
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradients(self, ids: np.ndarray, at: np.ndarray) -> list[tuple]:
         """Of the mean of -ln p: (number of the array, rows, values)."""
         vectors, scales, weights, bias, members, member_bias = self.arrays
-        e, everywhere = self._hidden(ids)
-        hidden = everywhere[at - WINDOW]
+        safe = self._safe()
         target = ids[at].astype(np.int64)
-        d = hidden @ weights + bias
-        d -= d.max(1, keepdims=True)
-        np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(at)), self.tokens.group[target]] -= 1
-        d /= len(at)
-        out = [(2, slice(None), hidden.T @ d), (3, slice(None), d.sum(0))]
+        order, ranges = self._classes(target)
+        target, place = target[order], (at - WINDOW)[order]
+        e, everywhere = self._hidden(ids)
+        hidden = everywhere[place]
+        n = len(at)
+        _, d, sums = self._exp(hidden, weights, bias, safe)
+        d *= (1 / (n * sums))[:, None]
+        d[np.arange(n), self.tokens.group[target]] -= 1 / n
+        out = [(2, slice(None), hidden.T @ d), (3, slice(None), np.ones(n, d.dtype) @ d)]
         back = d @ weights.T
-        for pick, a, b in self._classes(target):
+        for lo, hi, a, b in ranges:
             if b - a > 1:
-                h = hidden[pick]
-                inside = h @ members[a:b].T + member_bias[a:b]
-                inside -= inside.max(1, keepdims=True)
-                np.exp(inside, out=inside)
-                inside /= inside.sum(1, keepdims=True)
-                inside[np.arange(len(pick)), target[pick] - a] -= 1
-                inside /= len(at)
-                out += [(4, slice(a, b), inside.T @ h), (5, slice(a, b), inside.sum(0))]
-                back[pick] += inside @ members[a:b]
+                h = hidden[lo:hi]
+                _, inside, sums = self._exp(h, members[a:b].T, member_bias[a:b], safe)
+                inside *= (1 / (n * sums))[:, None]
+                inside[np.arange(hi - lo), target[lo:hi] - a] -= 1 / n
+                out += [(4, slice(a, b), inside.T @ h), (5, slice(a, b), np.ones(hi - lo, d.dtype) @ inside)]
+                back[lo:hi] += inside @ members[a:b]
         back *= 1 - hidden * hidden
         full = np.zeros_like(everywhere)
-        full[at - WINDOW] = back
-        n = len(full)
+        full[place] = back
+        k = len(full)
         by_place, by_offset = np.zeros_like(e), np.empty_like(scales)
-        for k, o in enumerate(OFFSETS):
-            by_place[WINDOW + o :][:n] += full * scales[k]
-            by_offset[k] = (full * e[WINDOW + o :][:n]).sum(0)
+        for i, o in enumerate(OFFSETS):
+            by_place[WINDOW + o :][:k] += full * scales[i]
+            by_offset[i] = np.einsum("ij,ij->j", full, e[WINDOW + o :][:k])
         order = np.argsort(ids, kind="stable")
-        rows, first = np.unique(ids[order], return_index=True)
-        return [*out, (0, rows, np.add.reduceat(by_place[order], first, axis=0)), (1, slice(None), by_offset)]
+        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+        return [*out, (0, ids[order[first]].astype(np.int64), np.add.reduceat(by_place[order], first, axis=0)), (1, slice(None), by_offset)]
 
 
 class Trainer:
@@ -270,9 +282,13 @@ class Trainer:
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
         for k, rows, g in self.net.gradients(ids, at):
-            s = self.squares[k]
-            s[rows] += g * g
-            self.net.arrays[k][rows] -= self.rate * g / np.sqrt(s[rows])
+            a, s = self.net.arrays[k], self.squares[k]
+            square = s[rows] + g * g
+            s[rows] = square
+            np.sqrt(square, out=square)
+            np.divide(g, square, out=square)
+            square *= self.rate
+            a[rows] -= square
             self.updates[k][rows] += 1
 
 

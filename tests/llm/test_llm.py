@@ -603,8 +603,7 @@ def test_language_model(spark, empty):
 
 
 def test_score_by_hand(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "LEAST", 40)
-    monkeypatch.setattr(lm_score, "MOST", 40)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 40)
     texts = [*made(33, 30, 40), None, "", "One word", "word", "word", "Ünï 中文 1,5"]
     df = docs(spark, texts, clash=True)
     enc, tokens = encoded(df)
