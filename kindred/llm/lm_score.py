@@ -133,7 +133,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.column(0):
             held.append(np.frombuffer(x.as_buffer(), np.int64))
             size += len(held[-1])
-            if size >= 1 << 22:
+            if size >= 1 << 21:
                 yield given()
                 held, size = [], 0
     if held:
@@ -313,6 +313,19 @@ def _steps(texts: list[np.ndarray], batch: int) -> Iterator[tuple[np.ndarray, np
         yield ids[own[0] - WINDOW : own[-1] + WINDOW + 1], own - own[0] + WINDOW
 
 
+def _parts(texts: list[np.ndarray], size: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """Texts next to each other of about ``size`` places together."""
+    held, n = [], 0
+    for x in texts:
+        held.append(x)
+        n += len(x)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _train(sent, rate: float):
     """Reads (shard, ids) in the order of the shards; gives (part, node, sum, weight) for each shard and array."""
 
@@ -397,7 +410,7 @@ def score(encoded: DataFrame, net: Network) -> DataFrame:
         net: Network = sent.value
         for b in it:
             texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(2)]
-            log_p = [net.log_p(ids, at).astype(np.float64) for ids, at in _steps(texts, 1 << 14)] if texts else []
+            log_p = [net.log_p(ids, at).astype(np.float64) for some in _parts(texts) for ids, at in _steps(some, 1 << 14)]
             ends = np.r_[0.0, np.cumsum(np.concatenate([np.empty(0), *log_p]))]
             size = np.array([len(x) for x in texts], np.int64)
             last = np.cumsum(size)
