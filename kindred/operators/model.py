@@ -20,7 +20,7 @@ def stratified_folds(truth: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """
     n = F.size("matches")
     rows = truth.select("s1_id", F.when(n == 0, "0").when(n <= 2, "1-2").when(n <= 5, "3-5").otherwise("6+").alias("stratum"))
-    rows = rows.withColumn("h", F.xxhash64("s1_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(256)))
+    rows = rows.withColumn("h", F.md5(F.concat_ws("|", "s1_id", F.lit(seed)))).withColumn("bucket", F.substring("h", 1, 2))
     counts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "s1_id"))

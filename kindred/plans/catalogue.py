@@ -11,7 +11,7 @@ from kindred.functions import similarity as S
 from kindred.functions import text as T
 from kindred.functions import vocabulary as V
 from kindred.operators import blocking, components, decide, features, metrics, model, validate
-from kindred.plans.binding import CLEAN_SQL, ENTITIES_SQL, PAIRS_SQL, SCORED_SQL, SIDES_SQL, TOKENS_SQL, jaccard_sql, pairs, scored, sides, table
+from kindred.plans.binding import CLEAN_SQL, ENTITIES_SQL, PAIRS_SQL, SCORED_SQL, SIDES_SQL, TOKENS_SQL, jaccard_sql, pairs, records, scored, sides, table
 from kindred.sources.storage import materialize, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,28 +277,33 @@ def quantized_topk(spark, d):
     return blocking.dense_top_k(e.where("id % 50 = 0"), e, 20)
 
 
-# sparse search over part names and types
+# sparse search over part names and types, and the documents' first sentences: rows with ids divisible by 50 against all others
 
 
-def _sparse_sql(n: str, column: str, k: int) -> str:
+def _sparse_sql(n: str, column: str, k: int, source: str = "part", key: str = "p_partkey") -> str:
     grams = """list_concat(list_transform(string_split(t, ' '), lambda w: CASE WHEN length(w) + 2 > 3 THEN list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)) ELSE [' ' || w || ' '] END),
  list_transform(string_split(t, ' '), lambda w: CASE WHEN length(w) + 2 >= 4 THEN list_transform(range(1, length(w)), lambda i: substr(' ' || w || ' ', i, 4)) ELSE [] END))"""
-    return f"""{n}_g AS (SELECT p_partkey AS id, term, count(*) AS tf FROM (SELECT p_partkey, unnest(flatten({grams})) AS term FROM (SELECT p_partkey, lower({column}) AS t FROM part)) GROUP BY 1, 2),
-{n}_i AS (SELECT term, ln((1 + (SELECT count(*) FROM part)) / (1 + count(*))) + 1 AS idf FROM {n}_g GROUP BY 1),
+    return f"""{n}_t AS (SELECT {key} AS id, lower({column}) AS t FROM {source}), {n}_g AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(flatten({grams})) AS term FROM {n}_t WHERE t <> '') GROUP BY 1, 2),
+{n}_i AS (SELECT term, ln((1 + (SELECT count(*) FROM {n}_t)) / (1 + count(*))) + 1 AS idf FROM {n}_g GROUP BY 1),
 {n}_w AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM {n}_g JOIN {n}_i USING (term)),
 {n}_u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {n}_w),
-{n}_s AS (SELECT x.id AS s1_id, y.id AS candidate_id, sum(x.w * y.w) AS sim FROM {n}_u x JOIN {n}_u y USING (term) WHERE x.id % 50 = 0 AND y.id % 50 <> 0 GROUP BY 1, 2),
-{n} AS (SELECT s1_id, candidate_id, sim FROM {n}_s WHERE sim >= 0.12 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY round(sim, 9) DESC, candidate_id) <= {k})"""
+{n}_s AS (SELECT x.id AS s1_id, y.id AS candidate_id, sum(x.w * y.w) AS sim FROM {n}_u x JOIN {n}_u y USING (term) WHERE x.id % 50 = 0 AND x.id <> y.id GROUP BY 1, 2),
+{n} AS (SELECT s1_id, candidate_id, sim FROM {n}_s WHERE round(sim, 9) >= 0.12 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY round(sim, 9) DESC, candidate_id) <= {k})"""
+
+
+def _sparse(rows: DataFrame, k: int) -> DataFrame:
+    w = materialize(blocking.tfidf(rows, "t").withColumn("group", F.lit(0)))
+    return blocking.sparse_top_k(w.where("entity_id % 50 = 0"), w, k)
 
 
 def _tied(spark, d, column: str, k: int):
-    """Sums in any order differ in their last bits; ranks are by nine places."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.lower(F.expr(column)).alias("t"))
-    w = materialize(blocking.tfidf(p, "t").withColumn("group", F.lit(0)))
-    a, b = w.where("entity_id % 50 = 0"), w.where("entity_id % 50 <> 0")
-    sims = a.select(F.col("entity_id").alias("s1_id"), "term", F.col("w").alias("w1")).join(b.select(F.col("entity_id").alias("candidate_id"), "term", F.col("w").alias("w2")), "term")
-    sims = sims.groupBy("s1_id", "candidate_id").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 9).alias("sim")).where("sim >= 0.12")
-    return blocking.top_k(sims, "sim", k)
+    return _sparse(table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.lower(F.expr(column)).alias("t")), k)
+
+
+@query(f"WITH {SIDES_SQL}, {_sparse_sql('x', 'name', 25, 'r0', 'doc_id')} SELECT s1_id, candidate_id, round(sim, 6) AS sim FROM x")
+def tfidf_topk_sentence(spark, d):
+    names = records(spark, d).select(F.substring_index("entity_id", "-", -1).cast("long").alias("entity_id"), F.col("name").alias("t"))
+    return rounded(_sparse(names, 25), "sim")
 
 
 @query(f"WITH {_sparse_sql('x', 'p_name', 25)} SELECT s1_id, candidate_id, round(sim, 6) AS sim FROM x")
@@ -348,10 +353,13 @@ def key_block_tok2(spark, d):
     return blocking.key_block(s1, t, "k2", 10).drop("o")
 
 
-@query(f"WITH {_KEYS_SQL}, {_block_sql(3, 5)} SELECT s1_id, candidate_id FROM b3")
+@query("""WITH k AS (SELECT p_partkey AS id, (10000 + p_size) || '|' || split_part(lower(p_name), ' ', 1) AS k FROM part),
+t AS (SELECT id, k FROM k WHERE id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) <= 5) SELECT s.id AS s1_id, t.id AS candidate_id FROM k s JOIN t USING (k) WHERE s.id % 2 = 0""")
 def key_block_geo(spark, d):
-    s1, t, _ = _keyed(spark, d)
-    return blocking.key_block(s1, t, "k3", 5).drop("o")
+    """Parts as records: their names, and an address that holds a number of five digits."""
+    address = F.concat_ws(" ", F.lit("Lot"), F.col("p_size") + 10_000, "p_brand")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), blocking.number_key(F.lower("p_name"), address).alias("k3"))
+    return blocking.key_block(p.where("entity_id % 2 = 0"), p.where("entity_id % 2 = 1"), "k3", 5).drop("o")
 
 
 _MULTI_SQL = f"""{_KEYS_SQL}, {_block_sql(1, 15)}, {_block_sql(2, 10)}, {_block_sql(3, 5)}, u AS (SELECT s1_id, candidate_id, min(route) AS route FROM (FROM b1 UNION ALL FROM b2 UNION ALL FROM b3) GROUP BY 1, 2),
@@ -490,7 +498,8 @@ def _training(spark, d):
 _TRAINING_FEATURES = ["sim_addr", "gap_to_top", "cand_rank", "n_candidates"]
 
 
-@query()
+@query(f"""WITH {SIDES_SQL}, f AS (SELECT s1_id, CASE WHEN n_true = 0 THEN '0' WHEN n_true <= 2 THEN '1-2' WHEN n_true <= 5 THEN '3-5' ELSE '6+' END AS stratum FROM tn)
+SELECT s1_id, stratum, CAST((row_number() OVER (PARTITION BY stratum ORDER BY md5(s1_id || '|42'), s1_id) - 1) % 5 AS INT) AS fold FROM f""")
 def fold_assign(spark, d):
     return model.stratified_folds(sides(spark, d)[2])
 
@@ -503,17 +512,21 @@ def gbt_oof_summary(spark, d):
     return metrics.log_loss(out).crossJoin(metrics.auc(out))
 
 
-@query()
+@query(f"""WITH {SCORED_SQL}, g AS (SELECT score, count(*) AS w, sum(label) AS s FROM scored GROUP BY 1), c AS (SELECT score, row_number() OVER o AS i, w, s, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM g WINDOW o AS (ORDER BY score)),
+b AS (SELECT x.i AS i, a.i AS a, min((e.cs - a.cs + a.s) / (e.cw - a.cw + a.w)) AS least FROM c x JOIN c a ON a.i <= x.i JOIN c e ON e.i >= x.i GROUP BY 1, 2),
+v AS (SELECT i, max(least) AS v FROM b GROUP BY 1) SELECT s1_id, candidate_id, score, round(v, 6) AS calibrated FROM scored JOIN c USING (score) JOIN v USING (i)""")
 def isotonic_calibrate(spark, d):
     rows = scored(spark, d).select("s1_id", "candidate_id", "score", "label")
     fitted = model.calibrate(rows)
-    return fitted.transform(rows.withColumn("x", F.col("score").cast("double"))).select("s1_id", "candidate_id", "score", "calibrated")
+    return rounded(fitted.transform(rows.withColumn("x", F.col("score").cast("double"))).select("s1_id", "candidate_id", "score", "calibrated"), "calibrated")
 
 
-@query()
+@query(f"""WITH {SCORED_SQL}, p AS (SELECT label, ln(x / (1 - x)) AS z FROM (SELECT label, greatest(0.000001::DOUBLE, least(0.999999::DOUBLE, score::DOUBLE)) AS x FROM scored)),
+t AS (SELECT i, pow(10::DOUBLE, 2 * i / 60.0::DOUBLE - 1) AS t FROM (SELECT unnest(range(0, 61)) AS i)),
+l AS (SELECT i, t, avg(ln(1 + exp(-(CASE WHEN label = 1 THEN z ELSE -z END) / t))) AS loss FROM p CROSS JOIN t GROUP BY 1, 2) SELECT round(t, 6) AS temperature FROM l ORDER BY loss, t LIMIT 1""")
 def temperature_scaling(spark, d):
     rows = scored(spark, d).select("score", "label")
-    return spark.createDataFrame([(model.temperature(rows),)], "temperature double")
+    return rounded(spark.createDataFrame([(model.temperature(rows),)], "temperature double"), "temperature")
 
 
 _LEVELS = "SELECT CAST(sim_addr >= 0.5 AS INT) AS addr, CAST(house <> '' AS INT) AS house, label FROM scored"
@@ -725,7 +738,9 @@ def linked_components(spark, d):
     return components.connected_components(p.select(n("s1_id").alias("a"), n("candidate_id").alias("b")))
 
 
-@query()
+@query(f"""WITH {SIDES_SQL}, picked AS (SELECT entity_id FROM s1 ORDER BY md5(entity_id || '|42'), entity_id LIMIT 50), ids AS (SELECT DISTINCT candidate_id AS entity_id FROM tp JOIN picked ON tp.s1_id = picked.entity_id),
+rest AS (SELECT entity_id FROM tg ANTI JOIN ids USING (entity_id) ORDER BY md5(entity_id || '|42'), entity_id LIMIT 250)
+SELECT entity_id, 's1' AS side FROM picked UNION ALL SELECT entity_id, 'target' FROM ids UNION ALL SELECT entity_id, 'target' FROM rest""")
 def semi_join_sample(spark, d):
     from kindred.sources.tables import semi_join_sample as sample
 

@@ -51,10 +51,10 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
 
 def semi_join_sample(s1: DataFrame, targets: DataFrame, truth: DataFrame, n: int, background: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """n entities of s1, and of the targets all their matches and ``background`` times n others; by hash order."""
-    some = s1.orderBy(F.xxhash64("entity_id", F.lit(seed)), "entity_id").limit(n)
+    some = s1.orderBy(F.md5(F.concat_ws("|", "entity_id", F.lit(seed))), "entity_id").limit(n)
     ids = truth.join(some.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi").select(F.explode("matches").alias("entity_id")).distinct()
     true = targets.join(ids, "entity_id", "left_semi")
-    rest = targets.join(ids, "entity_id", "left_anti").orderBy(F.xxhash64("entity_id", F.lit(seed)), "entity_id").limit(background * n)
+    rest = targets.join(ids, "entity_id", "left_anti").orderBy(F.md5(F.concat_ws("|", "entity_id", F.lit(seed))), "entity_id").limit(background * n)
     return some, true.unionByName(rest).dropDuplicates(["entity_id"])
 
 
