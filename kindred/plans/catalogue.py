@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kindred.functions import similarity as S
 from kindred.functions import text as T
 from kindred.functions import vocabulary as V
-from kindred.operators import blocking, components, decide, features, metrics, model, validate
+from kindred.operators import blocking, components, decide, encode, features, metrics, model, validate
 from kindred.plans.binding import CLEAN_SQL, ENTITIES_SQL, PAIRS_SQL, SCORED_SQL, SIDES_SQL, TOKENS_SQL, jaccard_sql, pairs, records, scored, sides, table
 from kindred.sources.storage import materialize, ship
 
@@ -277,6 +277,14 @@ def quantized_topk(spark, d):
     return blocking.dense_top_k(e.where("id % 50 = 0"), e, 20)
 
 
+@query()
+def latent_topk(spark, d):
+    """Names as vectors of a fitted latent semantic encoder: entities with ids divisible by 50 against all."""
+    names = records(spark, d).select(F.substring_index("entity_id", "-", -1).cast("long").alias("id"), "name")
+    e = materialize(encode.encode(names, "name", encode.fit_latent(names, "name"), "id").withColumn("group", F.lit(-1).cast("long")))
+    return rounded(blocking.dense_top_k(e.where("id % 50 = 0"), e, 20), "sim")
+
+
 # sparse search over part names and types, and the documents' first sentences: rows with ids divisible by 50 against all others
 
 
@@ -564,6 +572,21 @@ def rerank_blend(spark, d):
     return rounded(out.select("s1_id", "candidate_id", "reranked_by_D", "score"), "score")
 
 
+def _token_jaccard(left: list[str], right: list[str]) -> list[float]:
+    both = [(set(a.split()), set(b.split())) for a, b in zip(left, right, strict=True)]
+    return [len(a & b) / len(a | b) if a and b else 0.0 for a, b in both]
+
+
+@query(f"""WITH {SCORED_SQL}, j AS (SELECT pairs.s1_id, pairs.candidate_id, {jaccard_sql(TOKENS_SQL.format("a1"), TOKENS_SQL.format("a2"))} AS p FROM pairs)
+SELECT s1_id, candidate_id, CAST(score BETWEEN 0.65 AND 0.85 AS INT) AS reranked_by_D, round(CASE WHEN score BETWEEN 0.65 AND 0.85 THEN 0.5 * score + 0.5 * p ELSE score END, 6) AS score FROM scored JOIN j USING (s1_id, candidate_id)""")
+def gated_rerank(spark, d):
+    """A pair scorer over Arrow batches, here the Jaccard of address tokens, for the pairs in the band."""
+    s1, t, _ = sides(spark, d)
+    text = lambda x: x.select("entity_id", F.col("address").alias("text"))
+    out = encode.gated_rerank(scored(spark, d), text(s1), text(t), _token_jaccard)
+    return rounded(out.select("s1_id", "candidate_id", "reranked_by_D", "score"), "score")
+
+
 _OWNER_SQL = "owner AS (SELECT candidate_id, s1_id AS owner FROM scored QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, s1_id) = 1)"
 
 
