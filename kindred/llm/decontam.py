@@ -124,9 +124,12 @@ class Index:
         cut = [0, *np.flatnonzero(np.diff(total // SLICE) > 0) + 1, len(place)]
         for lo, hi in zip(cut, cut[1:], strict=False):
             for keys in self._bands(place[lo:hi], slot[lo:hi], starts, bands, exact):
-                values, counts = np.unique(np.r_[known, keys], return_inverse=True)
-                before = np.bincount(counts[: len(known)], counted, len(values)).astype(np.int64)
-                after = before + np.bincount(counts[len(known) :], minlength=len(values))
+                values, after = np.unique(keys, return_counts=True)
+                before = np.zeros(len(values), np.int64)
+                if len(known):  # a later slice
+                    values, index = np.unique(np.r_[known, values], return_inverse=True)
+                    before = np.bincount(index[: len(known)], counted, len(values)).astype(np.int64)
+                    after = before + np.bincount(index[len(known) :], after, len(values)).astype(np.int64)
                 need = self.need[values // bands % items]
                 fresh = values[(after >= need) & (before < need)]
                 known, counted = values, after
