@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.functions.similarity import sigmoid, three_state
+from kindred.sources.storage import materialize
 
 FIRST, REST = 0.600, 0.575
 
@@ -165,3 +166,19 @@ def grid_search(scored: DataFrame, truth: DataFrame, pairs: list[tuple[int, int]
 def best_thresholds(searched: DataFrame) -> DataFrame:
     """The best pair; of equals the first in the grid's order."""
     return searched.agg(F.max_by(F.struct("t_first", "t_rest", "macro_f05"), F.struct(F.round("macro_f05", 12), -F.col("t_first"), -F.col("t_rest"))).alias("x")).select("x.*")
+
+
+def coarse_to_fine(scored: DataFrame, truth: DataFrame) -> tuple[int, int, float]:
+    """(t_first, t_rest, macro F0.5), thresholds in thousandths: one threshold in steps of 20, then of 5 around the best, then smaller ones for the rest.
+
+    Three searches over all entities, each of one pass; a later value replaces an earlier one only if it is better. Without entities: 500, 500, 0.
+    """
+    scored = materialize(scored)
+
+    def better(pairs: list[tuple[int, int]], now: tuple[int, int, float]) -> tuple[int, int, float]:
+        found = best_thresholds(grid_search(scored, truth, pairs)).first() if pairs else None
+        return tuple(found) if found and round(found.macro_f05 or 0.0, 12) > round(now[2], 12) else now
+
+    best = better([(t, t) for t in range(300, 960, 20)], (500, 500, 0.0))
+    best = better([(t, t) for t in range(max(100, best[0] - 50), min(990, best[0] + 60), 5)], best)
+    return better([(best[0], t) for t in range(100, best[0], 20)], best)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kindred.operators import metrics
 from kindred.sources.storage import materialize
 
 
@@ -52,8 +53,8 @@ def _assembled(pairs: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(pairs.withColumns({f: F.col(f).cast("double") for f in features}))
 
 
-def fit(pairs: DataFrame, features: list[str], trees: int = 40, rate: float = 0.1, depth: int = 5, balance: bool = True, validation: str | None = None):
-    """Boosted trees. balance: classes weigh the same in sum. validation: a boolean column of rows that stop training early."""
+def fit(pairs: DataFrame, features: list[str], trees: int = 40, rate: float = 0.1, depth: int = 5, balance: bool = True, validation: str | None = None, learner: str = "boosted"):
+    """Boosted trees, or with learner "forest" a random forest. balance: classes weigh the same in sum. validation: a boolean column of rows that stop boosting early."""
     rows = pairs
     if balance:
         n = pairs.agg(F.avg(F.col("label").cast("double")).alias("p")).first().p or 0.0
@@ -61,6 +62,8 @@ def fit(pairs: DataFrame, features: list[str], trees: int = 40, rate: float = 0.
         rows = pairs.withColumn("weight", F.when(F.col("label") == 1, 0.5 / p).otherwise(0.5 / (1 - p)))
     else:
         rows = pairs.withColumn("weight", F.lit(1.0))
+    if learner == "forest":
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=127, subsamplingRate=0.8, seed=42, weightCol="weight", labelCol="label", featuresCol="features", minInstancesPerNode=5).fit(_assembled(rows, features))
     gbt = GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=127, subsamplingRate=0.8, seed=42, weightCol="weight", labelCol="label", featuresCol="features", minInstancesPerNode=5)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
@@ -92,6 +95,16 @@ def out_of_fold(pairs: DataFrame, features: list[str], k: int = 2, **options) ->
     return out, models
 
 
+def compare(pairs: DataFrame, features: list[str], settings: dict[str, dict], k: int = 2) -> DataFrame:
+    """(setting, auc, log_loss) out of fold for each of several settings of ``fit``. pairs: with fold and label."""
+    out = None
+    for name, options in settings.items():
+        scored = materialize(out_of_fold(pairs, features, k, **options)[0].select("score", "label"))
+        row = metrics.auc(scored).crossJoin(metrics.log_loss(scored)).select(F.lit(name).alias("setting"), "auc", "log_loss")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def importances(models: list, features: list[str]) -> list[tuple[str, float]]:
     """Mean importance over the folds, largest first."""
     n = len(models)

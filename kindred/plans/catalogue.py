@@ -95,12 +95,31 @@ def dba_split(spark, d):
     return x.select("c_custkey", primary.alias("primary_name"), trade.alias("trade_name"))
 
 
+@query(rf"SELECT c_custkey, trim(regexp_replace(n, '(?is){V.DBA_AKA}.*', '')) AS name FROM (SELECT c_custkey, {_DBA_SQL} AS n FROM customer)")
+def dba_drop_tail(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.drop_dba(F.expr(_DBA_SQL)).alias("name"))
+
+
 _ADDRESS_SQL = """CASE c_custkey % 7 WHEN 0 THEN c_custkey || ' main st, ste 4, Charlotte, North Carolina near city mall' WHEN 1 THEN '##' || c_custkey || ' oak ave, Austin, TX'
  WHEN 2 THEN 'plot no. ' || c_custkey || 'b ring rd opp bank' WHEN 3 THEN 'block XX' || c_custkey || ' lake dr, WEST VIRGINIA' WHEN 4 THEN 'la rue ' || c_custkey || ' bd hugo'
  WHEN 5 THEN 'h no 7/' || c_custkey || ' cross ln behind temple, virginia' ELSE 'no number pkwy' END"""
 _STREET_MAP = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in V.STREETS.items()) + "}"
 
 
+_CODES_SQL = ", ".join(f"'{c}'" for c in V.STATES.values())
+
+
+@query(rf"""SELECT c_custkey, coalesce(list_filter(regexp_extract_all(upper(a), '\b([A-Z]{{2}})\b', 1), lambda t: list_contains([{_CODES_SQL}], t))[1], '') AS state FROM (SELECT c_custkey, {_ADDRESS_SQL} AS a FROM customer)""")
+def state_first_code(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.state_token(F.expr(_ADDRESS_SQL)).alias("state"))
+
+
+@query(rf"""SELECT c_custkey, regexp_replace(a, '{V.REDACTED}', ' ', 'g') AS bare, contains(a, '##') OR contains(a, '***') AS redacted FROM (SELECT c_custkey, {_ADDRESS_SQL} AS a FROM customer)""")
+def redaction_variants(spark, d):
+    a = F.expr(_ADDRESS_SQL)
+    return table(spark, d, "customer").select("c_custkey", T.redaction_all(a).alias("bare"), T.is_redacted_plain(a).alias("redacted"))
+
+
 @query(rf"""WITH x AS (SELECT c_custkey, {_ADDRESS_SQL} AS a FROM customer)
 SELECT c_custkey, array_to_string(list_transform({TOKENS_SQL.format(CLEAN_SQL.format("a"))}, lambda t: coalesce({_STREET_MAP}[t], t)), ' ') AS expanded FROM x""")
 def street_expand(spark, d):
@@ -520,6 +539,13 @@ def gbt_oof_summary(spark, d):
     return metrics.log_loss(out).crossJoin(metrics.auc(out))
 
 
+@query()
+def booster_comparison(spark, d):
+    """Boosted trees of two depths and a random forest, out of fold."""
+    settings = {"depth 3": {"depth": 3, "trees": 10}, "depth 5": {"depth": 5, "trees": 10}, "forest": {"learner": "forest", "trees": 10}}
+    return model.compare(_training(spark, d), _TRAINING_FEATURES, settings)
+
+
 @query(f"""WITH {SCORED_SQL}, g AS (SELECT score, count(*) AS w, sum(label) AS s FROM scored GROUP BY 1), c AS (SELECT score, row_number() OVER o AS i, w, s, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM g WINDOW o AS (ORDER BY score)),
 b AS (SELECT x.i AS i, a.i AS a, min((e.cs - a.cs + a.s) / (e.cw - a.cw + a.w)) AS least FROM c x JOIN c a ON a.i <= x.i JOIN c e ON e.i >= x.i GROUP BY 1, 2),
 v AS (SELECT i, max(least) AS v FROM b GROUP BY 1) SELECT s1_id, candidate_id, score, round(v, 6) AS calibrated FROM scored JOIN c USING (score) JOIN v USING (i)""")
@@ -648,6 +674,29 @@ def clear_winner(spark, d):
     return decide.clear_winners(scored(spark, d), 0.05)
 
 
+@query(f"WITH {SCORED_SQL} SELECT s1_id, candidate_id, round(score, 6) AS score FROM scored WHERE score >= 0.75")
+def single_threshold(spark, d):
+    return rounded(decide.single_threshold(scored(spark, d), 0.75).select("s1_id", "candidate_id", "score"), "score")
+
+
+_COUNTRY_SQL = "CASE WHEN c_custkey % 10 = 0 THEN 'UNKNOWN' ELSE CAST(c_nationkey AS STRING) END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, c1, c2 FROM (SELECT l_orderkey, l_linenumber, {_COUNTRY_SQL} AS c1, CAST(s_nationkey AS STRING) AS c2
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey) WHERE c1 = c2 OR c1 = 'UNKNOWN'""")
+def country_filter(spark, d):
+    """Customers of unknown country keep their suppliers of any."""
+    met = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    met = met.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return blocking.country_filter(met.select("l_orderkey", "l_linenumber", F.expr(_COUNTRY_SQL).alias("c1"), F.col("s_nationkey").cast("string").alias("c2")))
+
+
+@query()
+def coarse_to_fine(spark, d):
+    """Thresholds in thousandths and their macro F0.5."""
+    return spark.createDataFrame([decide.coarse_to_fine(scored(spark, d), sides(spark, d)[2])], "t_first int, t_rest int, macro_f05 double")
+
+
 _GRID = decide.grid(range(500, 951, 50), range(500, 951, 50))
 _GRID_SQL = f"""WITH {SCORED_SQL}, rk AS (SELECT s1_id, candidate_id, label, floor(score * 1000 + 1e-9) AS m, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, candidate_id) AS rn, max(floor(score * 1000 + 1e-9)) OVER (PARTITION BY s1_id) AS top FROM scored),
 g AS (SELECT unnest([{", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in _GRID)}]) AS g), p AS (SELECT g.a AS a, g.b AS b, s1_id, count(*) AS n_pred, sum(label) AS tp FROM g JOIN rk ON top >= g.a AND (rn = 1 OR m >= g.b) GROUP BY 1, 2, 3),
