@@ -54,6 +54,37 @@ def test_tfidf_unit_and_product(spark):
     assert [(r.candidate_id, round(r.sim, 9)) for r in got] == [(2, 1.0)]
 
 
+def test_search_of_copies(spark, monkeypatch):
+    """Copies share one search: the lists are those of a search over all pairs, and no step makes rows by the pairs of copies."""
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcde"), 4)) for _ in range(12)]
+    texts = [" ".join(r.choice(words, 3)) for _ in range(30)]
+    rows = [(i, texts[min(int(r.exponential(6)), 29)]) for i in range(300)] + [(300, ""), (301, None), (302, "  "), (7, "again"), (None, "abcd")]
+    df = spark.createDataFrame(rows, "entity_id long, t string").repartition(3)
+    calls = []
+    monkeypatch.setattr(B, "vector_top_k", lambda q, t, *a, f=B.vector_top_k, **b: (calls.append((q.count(), t.count())), f(q, t, *a, **b, block=4))[1])
+    got = {}
+    for x in B.text_top_k(df, F.col("entity_id") % 50 == 0, 8).collect():
+        got.setdefault(x.s1_id, []).append((x.candidate_id, x.sim))
+    assert max(max(c) for c in calls) <= 33
+    grams = {}
+    for i, t in rows:
+        for w in (t or "").split():
+            w = f" {w} "
+            grams.setdefault(i, []).extend(w[j : j + n] for n in (3, 4) for j in range(len(w) - n + 1))
+    df_of = {g: sum(g in x for x in grams.values()) for x in grams.values() for g in x}
+    vectors = {}
+    for i, x in grams.items():
+        v = {g: (1 + np.log(x.count(g))) * (np.log((1 + len(rows)) / (1 + df_of[g])) + 1) for g in x}
+        norm = np.sqrt(sum(c * c for c in v.values()))
+        vectors[i] = {g: c / norm for g, c in v.items()}
+    assert set(got) == {i for i in range(0, 300, 50)}
+    for i, found in got.items():
+        sims = {j: round(sum(c * v.get(g, 0) for g, c in vectors[i].items()), 9) for j, v in vectors.items() if j not in (i, None)}
+        best = sorted(((-s, j) for j, s in sims.items() if s >= 0.12))[:8]
+        assert sorted(found, key=lambda x: (-x[1], x[0])) == [(j, pytest.approx(-s, abs=2e-9)) for s, j in best]
+
+
 def test_routes(spark):
     s = "s1_id string, candidate_id string, sim double"
     a, b = spark.createDataFrame([("x", "1", 0.5), ("x", "2", 0.4)], s), spark.createDataFrame([("x", "2", 0.9)], s)
