@@ -2,12 +2,16 @@
 
 A pair at 0.8 differs in about 15 % of its SimHash bits, too many for keys made of fingerprint bits. So texts meet under keys of BANDS times ROWS minima of their
 shingles' hashes instead: a pair at 0.8 misses all meetings with probability (1 - 0.8**4)**24 = 3 in a million, one at 0.85 with less than one in 10**7.
-In a meeting the members are sorted by the distance of their WORDS * 64 bit fingerprints to that of a reference, the meeting's first member (its pivot);
-by the triangle inequality only a window can be within FAR bits. Pairs whose set sizes rule the threshold out, or that are further apart than FAR bits
-(4.4 standard deviations beyond the mean at 0.8; not asked of sets under SMALL shingles), go. What is left is confirmed by the sets of 64-bit hashes themselves.
+For each text's fingerprint of WORDS * 64 bits a table holds its Hamming distances to PIVOTS reference fingerprints, those of texts of the input; it is computed and written once,
+and its rows travel with the fingerprints. (A large group of near copies is likely to have a reference, which spreads its members.) A meeting's members are sorted by the
+coordinate that spreads them most; by the triangle inequality only a window can be within FAR bits, and the largest coordinate difference discards more. Pairs whose set
+sizes rule the threshold out, or that are further apart than FAR bits (4.4 standard deviations beyond the mean at 0.8; not asked of sets under SMALL shingles), go.
+What is left is confirmed by the sets of 64-bit hashes themselves.
 
-A group of n copies has n**2 pairs, but n - 1 confirmed ones connect it. So a member gives its first few pairs of a meeting, and after those are
-confirmed or refused, more of those between texts not connected yet, until no meeting holds any back: all pairs that meet are decided.
+A group of n copies has n**2 pairs, but n - 1 confirmed ones connect it. So a member gives its first few pairs of a meeting, and after those are confirmed or refused, the
+members of meetings that held pairs back meet again and give more of those between texts not connected yet, until no meeting holds any back: all pairs that meet are decided.
+From the second round on, members bring the number of their hashes in each of BINS classes. Two sets share at most the sum of the lesser numbers, so a pair whose
+sum is too small for the threshold is refused in its meeting, without error; in a group of near copies few others are left.
 
 Equal sets are one text from the start. Null and word-less texts are equal. Every row gives a row; a null doc_id takes part and is a component's name only
 if no other is in it. Of each component one (doc_id, text) is its ``first``: the smallest doc_id, nulls last, and of texts that share it the one with the smallest hash.
@@ -30,6 +34,7 @@ from kindred.sources.storage import materialize, ship
 
 BANDS, ROWS, WORDS = 24, 4, 4
 FAR, SMALL = 64, 64
+PIVOTS, BINS = 24, 256
 _random = np.random.default_rng(80)
 _ODD, _XOR = (_random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 _JOIN = _random.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
@@ -56,6 +61,44 @@ def _name(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+def _bins(hashes: np.ndarray) -> bytes | None:
+    """How many hashes each class has, a byte for each; null if one doesn't fit."""
+    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _pivots(references: np.ndarray):
+    """Adds the table's row: the distance to each reference, at most 255."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, 1, WORDS)
+            table = np.bitwise_count(fp ^ references[None]).sum(2, dtype=np.int64).clip(max=255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in table], pa.binary())], [*b.schema.names, "pivots"])
+
+    return batches
+
+
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """id, n, fp, keys and pivots of the different sets, written. The references are the fingerprints of the PIVOTS texts with the smallest hashes of their names; fewer texts: repeated."""
+    some = distinct.where("n > 0").select("id", "fp").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    references = np.frombuffer(b"".join(bytes(r.fp) for r in some) or bytes(8 * WORDS), np.uint64).reshape(-1, WORDS)
+    table = distinct.select("id", "n", "fp", "keys").mapInArrow(_pivots(np.resize(references, (PIVOTS, WORDS))), "id long, n int, fp binary, keys array<long>, pivots binary")
+    return materialize(table)
+
+
+def _possible(bins: np.ndarray, whole: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Whether sets a and b (indices) can have a similarity of ``least`` thousandths, by their numbers of each class."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), 10_000):
+        x, y = a[lo : lo + 10_000], b[lo : lo + 10_000]
+        both = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
+        out[lo : lo + 10_000] = (both * 1000 >= (n[x] + n[y] - both) * least) | ~(whole[x] & whole[y])
+    return out
+
+
 def _sketches(shingle: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -77,17 +120,31 @@ def _sets(shingle: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["id", "s"])
+            names, values = pa.array([_name(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([names, values, pa.array(map(_bins, sets), pa.binary())], ["id", "s", "bins"])
 
     return batches
 
 
-def _meet(start: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (indices) of meetings that may be alike and have different roots, the first ``most`` of each member; and whether there were more. start: index of the meeting's first row."""
-    pivot = np.bitwise_count(fp ^ fp[start]).sum(1, dtype=np.int64)
+def _spread(table: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of each row of the pivot table the coordinate that varies most in its meeting."""
+    at, which = np.unique(start, return_inverse=True)
+    values = table.astype(np.float64)
+    n = np.diff(np.r_[at, len(start)])[:, None]
+    mean = np.add.reduceat(values, at) / n
+    varies = np.add.reduceat(values * values, at) / n - mean * mean
+    return table[np.arange(len(start)), varies.argmax(1)[which]].astype(np.int64)
+
+
+def _meet(start: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, table: np.ndarray, bins: np.ndarray | None, whole: np.ndarray | None, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (indices) of meetings that may be alike and have different roots, the first ``most`` of each member; and the start of meetings that have more.
+    start: index of the meeting's first row; bins: not in the first round."""
+    pivot = _spread(table, start)
     order = np.lexsort((ids, pivot, start))
-    start, n, root, fp, pivot = start[order], n[order].astype(np.int64), root[order], fp[order], pivot[order]
-    given, left, right, more = np.zeros(len(ids), np.int64), [], [], False
+    start, n, root, fp, pivot, table = start[order], n[order].astype(np.int64), root[order], fp[order], pivot[order], table[order].astype(np.int16)
+    if bins is not None:
+        bins, whole = bins[order], whole[order]
+    given, left, right, more = np.zeros(len(ids), np.int64), [], [], []
     alive = np.arange(len(ids))
     for shift in range(1, len(ids)):
         alive = alive[alive + shift < len(ids)]
@@ -99,38 +156,53 @@ def _meet(start: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, f
         a, b = n[alive], n[alive + shift]
         can = (root[alive] != root[alive + shift]) & (np.minimum(a, b) * 1000 >= np.maximum(a, b) * least)
         near = alive[can]
+        small = np.minimum(n[near], n[near + shift]) < SMALL
+        near = near[small | (np.abs(table[near] - table[near + shift]).max(1, initial=0) <= FAR)]
         apart = np.bitwise_count(fp[near] ^ fp[near + shift]).sum(1, dtype=np.int64)
         near = near[(apart <= FAR) | (np.minimum(n[near], n[near + shift]) < SMALL)]
+        if bins is not None and len(near):
+            near = near[_possible(bins, whole, n, near, near + shift, least)]
         full = given[near] >= most
         if full.any():
-            more = True
+            more.append(start[near[full]])
             alive = alive[given[alive] < most]
             near = near[~full]
         given[near] += 1
         left.append(near)
         right.append(near + shift)
+    held = np.unique(np.concatenate(more)) if more else np.empty(0, np.int64)
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64), more
-    return order[np.concatenate(left)], order[np.concatenate(right)], more
+        return np.empty(0, np.int64), np.empty(0, np.int64), held
+    return order[np.concatenate(left)], order[np.concatenate(right)], held
 
 
 def _candidates(least: int, most: int):
-    """Reads (key, id, n, root, fp) in the order of key. Gives pairs (a, b), and a row of nulls where pairs were held back."""
+    """Reads (key, id, n, root, fp, pivots), from the second round on also bins, in the order of key. Gives pairs (a, b), and (a, null) for each member of a meeting that held pairs back."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def bytes_of(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
     def work(t: pa.Table) -> pa.RecordBatch:
-        key, ids, n, root = (t.column(i).to_numpy() for i in range(4))
+        key = t.column(0).to_numpy()
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[at, len(key)])
         many = np.flatnonzero(np.repeat(size, size) > 1)
+        if not len(many):
+            return pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 2, schema=schema)
         start = np.searchsorted(many, np.repeat(at, size)[many])
-        fp = np.frombuffer(b"".join(t.column(4).take(pa.array(many)).to_pylist()), np.uint64).reshape(-1, WORDS)
-        ids = ids[many]
-        x, y, more = _meet(start, ids, n[many], root[many], fp, least, most)
+        t = t.take(pa.array(many))
+        ids, n, root = (t.column(i).to_numpy() for i in (1, 2, 3))
+        bins = whole = None
+        if t.num_columns > 6:
+            whole = t.column(6).is_valid().to_numpy()
+            bins = bytes_of(t.column(6).fill_null(bytes(BINS)), np.uint8, BINS)
+        x, y, held = _meet(start, ids, n, root, bytes_of(t.column(4), np.uint64, WORDS), bytes_of(t.column(5), np.uint8, PIVOTS), bins, whole, least, most)
         a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         rows = np.unique(np.stack([a, b], 1), axis=0)
-        none = pa.nulls(int(more), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(rows[:, i]), none]) for i in (0, 1)], schema=schema)
+        late = np.unique(ids[np.isin(start, held)])
+        ends = pa.concat_arrays([pa.array(rows[:, 1]), pa.nulls(len(late), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows[:, 0], late])), ends], schema=schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -161,27 +233,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 800, most: i
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "at")
     rows = materialize(texts.mapInArrow(_sketches(shingle), "doc_id long, at long, id long, n int, fp binary, keys array<long>"))
     distinct = materialize(rows.groupBy("id").agg(F.min(place).alias("first"), F.min("at").alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-    members, sets, links, parts = distinct.select("id", "n", "fp", "keys", F.col("id").alias("root")), None, None, None
+    table = pivot_table(distinct)
+    members, sets, links, parts = table.withColumn("root", F.col("id")), None, None, None
     while True:
-        met = members.select(F.explode("keys").alias("key"), "id", "n", "root", "fp").repartition("key").sortWithinPartitions("key", "id")
+        more = ["bins"] if sets is not None else []
+        met = members.select(F.explode("keys").alias("key"), "id", "n", "root", "fp", "pivots", *more).repartition("key").sortWithinPartitions("key", "id")
         found = materialize(met.mapInArrow(_candidates(least, most), "a long, b long"))
-        pairs = materialize(found.where("a is not null").distinct())
+        pairs = materialize(found.where("b is not null").distinct())
+        late = materialize(found.where("b is null").select(F.col("a").alias("id")).distinct())
         if sets is None:
-            some = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", "at"), "id"))
-            own = texts.join(some.select("at").distinct(), "at", "left_semi").select("text").mapInArrow(_sets(shingle), "id long, s array<long>")
-            sets = materialize(own.groupBy("id").agg(F.first("s").alias("s")))
+            some = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(late).distinct().join(distinct.select("id", "at"), "id"))
+            own = texts.join(some.select("at").distinct(), "at", "left_semi").select("text").mapInArrow(_sets(shingle), "id long, s array<long>, bins binary")
+            sets = materialize(own.groupBy("id").agg(F.first("s").alias("s"), F.first("bins").alias("bins")))
+        else:
+            most *= 16
         left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
         same = F.size(F.array_intersect("s_a", "s_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
         good = materialize(both.where(F.col("i") * 1000 >= (F.col("t") - F.col("i")) * least).select("a", "b"))
         links = good if links is None else links.union(good)
         parts = materialize(connected_components(links))
-        if not found.where("a is null").limit(1).count():
+        if not late.limit(1).count():
             break
-        # what met nothing similar in the first round meets nothing later
+        # what meetings held back is between their members
         now = parts.select(F.col("node").alias("id"), F.col("component").alias("to"))
-        members = materialize(distinct.join(some.select("id"), "id", "left_semi").join(now, "id", "left").select("id", "n", "fp", "keys", F.coalesce("to", "id").alias("root")))
-        most *= 16
+        again = table.join(late, "id", "left_semi").join(sets.select("id", "bins"), "id").join(now, "id", "left")
+        members = materialize(again.select("id", "n", "fp", "keys", "pivots", "bins", F.coalesce("to", "id").alias("root")))
     named = materialize(distinct.select("id", "first").join(parts, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("root")))
     least_id = materialize(named.groupBy("root").agg(F.min("first").alias("least")))
     names = materialize(named.join(least_id, "root").select("id", "least"))

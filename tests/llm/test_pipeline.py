@@ -80,6 +80,48 @@ def test_edited_copies(spark):
     assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {find(i) for i in texts}
 
 
+def test_refused_near_copies():
+    """Of a large group of near copies that are mostly not alike enough, meetings give no more than twice the pairs that are, and lose none."""
+    import numpy as np
+
+    from kindred.llm import similar_texts as T
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(r.randrange(1, 14)):
+            w[r.randrange(150)] = word()
+        texts.append(" ".join(w))
+    sets = [np.unique(T.shingle_hashes(t, 5)) for t in texts]
+    pairs = {(i, j) for i in range(300) for j in range(i) if (k := len(np.intersect1d(sets[i], sets[j]))) * 1000 >= (len(sets[i]) + len(sets[j]) - k) * 800}
+    fp = np.stack([T._sketch(s)[0] for s in sets])
+    table = np.bitwise_count(fp[:, None] ^ fp[None, : T.PIVOTS]).sum(2).astype(np.uint8)
+    bins = np.stack([np.frombuffer(T._bins(s), np.uint8) for s in sets])
+    n, ids, start = np.array([len(s) for s in sets]), np.arange(300), np.zeros(300, np.int64)
+    x, y, held = T._meet(start, ids, n, ids, fp, table, bins, np.ones(300, bool), 800, 10**6)
+    found = {(max(p), min(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert 20 < len(pairs) and found >= pairs and len(found) < 2 * len(pairs) < 9_000 and not len(held)
+    x, y, held = T._meet(start, ids, n, ids, fp, table, bins, np.ones(300, bool), 800, 1)
+    assert list(held) == [0] and np.bincount(x).max() == 1
+
+
+def test_pivot_table(spark):
+    """The written table's distances to reference fingerprints, recomputed; a hash class of over 255 makes no claim."""
+    import numpy as np
+
+    from kindred.llm import similar_texts as T
+
+    fp = np.random.default_rng(1).integers(0, 2**64, (30, T.WORDS), dtype=np.uint64)
+    rows = [(i, 0 if i == 29 else 5, bytearray(f.tobytes()), []) for i, f in enumerate(fp)]
+    got = T.pivot_table(spark.createDataFrame(rows, "id long, n int, fp binary, keys array<long>")).collect()
+    distances = np.array([np.bitwise_count(fp ^ f).sum(1) for f in fp]).clip(max=255)
+    seen = np.array([list(x.pivots) for x in sorted(got, key=lambda x: x.id)])
+    assert seen.shape == (30, T.PIVOTS) and all(any((c == d).all() for d in distances[:29]) for c in seen.T)
+    assert T._bins(np.arange(300, dtype=np.uint64)) is None and sum(T._bins(np.arange(200, dtype=np.uint64))) == 200
+
+
 def test_rows_without_own_ids(spark, tmp_path):
     """Null and shared ids, repeated rows and an extra column: each row is judged for itself, and no clean text is lost."""
     r = random.Random(3)
