@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from kindred.sources.storage import materialize, ship
 
 #: Encoded words kept in a worker.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Rows that a rank bucket should have, and the fewest buckets.
 BUCKET_ROWS, BUCKETS = 50_000, 256
 
@@ -87,14 +87,18 @@ class Encoder:
         # Python's split also cuts at four control characters that the tokenizer doesn't take for white space
         split = [t.split() if not _CONTROLS.search(t) else [w for w in re.split("[ \t\n]", t) if w] for t in texts]
         known = self.words
-        new = list(set().union(*(set(words).difference(known) for words in split)))
-        room = max(0, CACHE - len(known))
+        got = [list(map(known.get, words)) for words in split]
+        lost = [[i for i, ids in enumerate(found) if ids is None] for found in got]
+        new = list({words[i] for words, at in zip(split, lost, strict=True) for i in at})
+        fresh: dict[str, bytes] = {}
         for i in range(0, len(new), 5_000):
-            known.update(self._encode(new[i : i + 5_000]))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new[room:]:
-            del known[w]
-        return out
+            fresh.update(self._encode(new[i : i + 5_000]))
+        for words, found, at in zip(split, got, lost, strict=True):
+            for i in at:
+                found[i] = fresh[words[i]]
+        for w in new[: max(0, CACHE - len(known))]:
+            known[w] = fresh[w]
+        return list(map(b"".join, got))
 
 
 _CONTROLS = re.compile("[\x1c-\x1f]")
