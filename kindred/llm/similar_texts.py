@@ -177,8 +177,8 @@ def _meet(start: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, f
 
 
 def _candidates(least: int, most: int):
-    """Reads (key, id, n, root, fp, pivots), from the second round on also bins, in the order of key. Gives pairs (a, b), and (a, null) for each member of a meeting that held pairs back."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Reads (key, id, n, root, fp, pivots), from the second round on also bins, in the order of key. Gives pairs (a, b), and (a, null, key) for each member of a meeting that held pairs back."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
     def bytes_of(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
@@ -189,7 +189,7 @@ def _candidates(least: int, most: int):
         size = np.diff(np.r_[at, len(key)])
         many = np.flatnonzero(np.repeat(size, size) > 1)
         if not len(many):
-            return pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 2, schema=schema)
+            return pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 3, schema=schema)
         start = np.searchsorted(many, np.repeat(at, size)[many])
         t = t.take(pa.array(many))
         ids, n, root = (t.column(i).to_numpy() for i in (1, 2, 3))
@@ -200,9 +200,10 @@ def _candidates(least: int, most: int):
         x, y, held = _meet(start, ids, n, root, bytes_of(t.column(4), np.uint64, WORDS), bytes_of(t.column(5), np.uint8, PIVOTS), bins, whole, least, most)
         a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         rows = np.unique(np.stack([a, b], 1), axis=0)
-        late = np.unique(ids[np.isin(start, held)])
+        late = np.flatnonzero(np.isin(start, held))
         ends = pa.concat_arrays([pa.array(rows[:, 1]), pa.nulls(len(late), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows[:, 0], late])), ends], schema=schema)
+        keys = pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(key[many][late])])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows[:, 0], ids[late]])), ends, keys], schema=schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,15 +235,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 800, most: i
     rows = materialize(texts.mapInArrow(_sketches(shingle), "doc_id long, at long, id long, n int, fp binary, keys array<long>"))
     distinct = materialize(rows.groupBy("id").agg(F.min(place).alias("first"), F.min("at").alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     table = pivot_table(distinct)
-    members, sets, links, parts = table.withColumn("root", F.col("id")), None, None, None
+    members = table.select(F.explode("keys").alias("key"), "id", "n", F.col("id").alias("root"), "fp", "pivots")
+    sets, links, parts = None, None, None
     while True:
-        more = ["bins"] if sets is not None else []
-        met = members.select(F.explode("keys").alias("key"), "id", "n", "root", "fp", "pivots", *more).repartition("key").sortWithinPartitions("key", "id")
-        found = materialize(met.mapInArrow(_candidates(least, most), "a long, b long"))
-        pairs = materialize(found.where("b is not null").distinct())
-        late = materialize(found.where("b is null").select(F.col("a").alias("id")).distinct())
+        met = members.repartition("key").sortWithinPartitions("key", "id")
+        found = materialize(met.mapInArrow(_candidates(least, most), "a long, b long, key long"))
+        pairs = materialize(found.where("b is not null").select("a", "b").distinct())
+        late = found.where("b is null").select(F.col("a").alias("id"), "key")
         if sets is None:
-            some = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(late).distinct().join(distinct.select("id", "at"), "id"))
+            some = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(late.select("id")).distinct().join(distinct.select("id", "at"), "id"))
             own = texts.join(some.select("at").distinct(), "at", "left_semi").select("text").mapInArrow(_sets(shingle), "id long, s array<long>, bins binary")
             sets = materialize(own.groupBy("id").agg(F.first("s").alias("s"), F.first("bins").alias("bins")))
         else:
@@ -257,8 +258,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 800, most: i
             break
         # what meetings held back is between their members
         now = parts.select(F.col("node").alias("id"), F.col("component").alias("to"))
-        again = table.join(late, "id", "left_semi").join(sets.select("id", "bins"), "id").join(now, "id", "left")
-        members = materialize(again.select("id", "n", "fp", "keys", "pivots", "bins", F.coalesce("to", "id").alias("root")))
+        again = table.join(sets.select("id", "bins"), "id").join(now, "id", "left").select("id", "n", F.coalesce("to", "id").alias("root"), "fp", "pivots", "bins")
+        members = late.join(again, "id").select("key", "id", "n", "root", "fp", "pivots", "bins")
     named = materialize(distinct.select("id", "first").join(parts, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("root")))
     least_id = materialize(named.groupBy("root").agg(F.min("first").alias("least")))
     names = materialize(named.join(least_id, "root").select("id", "least"))
