@@ -1,15 +1,17 @@
-"""Texts whose sets of word shingles have a Jaccard similarity of at least a threshold, by long SimHashes and a check of the sets.
+"""Texts whose sets of word shingles have a Jaccard similarity of at least a threshold, by SimHashes with a table of pivot distances and a check of the sets.
 
-A pair at 0.8 differs in about 15 % of its SimHash bits, too many for keys made of fingerprint bits. So texts meet under keys of BANDS times ROWS minima of their
-shingles' hashes instead: a pair at 0.8 misses all meetings with probability (1 - 0.8**4)**24 = 3 in a million, one at 0.85 with less than one in 10**7.
-For each text's fingerprint of WORDS * 64 bits a table holds its Hamming distances to PIVOTS reference fingerprints, those of texts of the input; it is computed and written once,
+A SimHash is taken of KEYS words of 64 bits: in each bit place a shingle's hash counts for one or zero, and the majority is the bit. The first WORDS words are the fingerprint.
+A pair at 0.8 differs in about 15 % of the bits, too many for keys of whole blocks of bits. So of each half of a word only its most decided bit (place and value, the
+first of equal ones) is a key's part, and texts that agree in both halves of a word meet. By calculation, and in a simulation of the counts, a pair at 0.8 agrees in a half with a chance of
+0.48 or more, so it misses all meetings in 3 of a million cases (1 - 0.48**2 to the power of KEYS); unlike texts meet under a key in one of some 4,000.
+For each text's fingerprint a table holds its Hamming distances to PIVOTS reference fingerprints, those of texts of the input; it is computed and written once,
 and its rows travel with the fingerprints. (A large group of near copies is likely to have a reference, which spreads its members.) A meeting's members are sorted by the
 coordinate that spreads them most; by the triangle inequality only a window can be within FAR bits, and the largest coordinate difference discards more. Pairs whose set
-sizes rule the threshold out, or that are further apart than FAR bits (4.4 standard deviations beyond the mean at 0.8; not asked of sets under SMALL shingles), go.
-What is left is confirmed by the sets of 64-bit hashes themselves.
+sizes rule the threshold out, or that are further apart than FAR bits, go (FAR_SMALL bits if a set has under SMALL shingles; either is 4.4 standard deviations beyond
+the mean at 0.8). What is left is confirmed by the sets of 64-bit hashes themselves.
 
 A group of n copies has n**2 pairs, but n - 1 confirmed ones connect it. So a member gives its first few pairs of a meeting, and after those are confirmed or refused, the
-members of meetings that held pairs back meet again and give more of those between texts not connected yet, until no meeting holds any back: all pairs that meet are decided.
+members of pairs held back meet again under the same keys and give more of those between texts not connected yet, until none is held back: all pairs that meet are decided.
 From the second round on, members bring the number of their hashes in each of BINS classes. Two sets share at most the sum of the lesser numbers, so a pair whose
 sum is too small for the threshold is refused in its meeting, without error; in a group of near copies few others are left.
 
@@ -32,26 +34,29 @@ from kindred.llm.texts import text_hash
 from kindred.operators.components import connected_components
 from kindred.sources.storage import materialize, ship
 
-BANDS, ROWS, WORDS = 24, 4, 4
-FAR, SMALL = 64, 64
+KEYS, WORDS = 48, 4
+FAR, FAR_SMALL, SMALL = 64, 76, 64
 PIVOTS, BINS = 24, 256
-_random = np.random.default_rng(80)
-_ODD, _XOR = (_random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
-_JOIN = _random.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_MIX = _random.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
+#: So many members of a meeting after a full one are looked at for pairs held back; of a larger meeting all members meet again.
+LOOK = 4096
+_MIX = np.random.default_rng(80).integers(0, 2**64, KEYS, dtype=np.uint64) | np.uint64(1)
 
 
 def _sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint (WORDS words) and the keys of a set that isn't empty."""
-    low, ones = np.full(BANDS * ROWS, 2**64 - 1, np.uint64), np.zeros(64 * WORDS, np.int64)
-    for i in range(0, len(hashes), 4096):
-        h = hashes[i : i + 4096, None]
-        np.minimum(low, ((h ^ _XOR) * _ODD).min(0), out=low)
+    ones = np.zeros(64 * KEYS, np.int64)
+    for i in range(0, len(hashes), 255):  # so many ones fit in a byte
+        h = hashes[i : i + 255, None]
         x = (h ^ (h >> np.uint64(31))) * _MIX
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
-        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64), (low.reshape(BANDS, ROWS) * _JOIN).sum(1, dtype=np.uint64)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    lead = 2 * ones - len(hashes)
+    halves = np.abs(lead).reshape(-1, 32).argmax(1)
+    code = 2 * halves + (lead.reshape(-1, 32)[np.arange(2 * KEYS), halves] > 0)
+    keys = (np.arange(KEYS) << 12) + (code[::2] << 6) + code[1::2]
+    return np.packbits(lead[: 64 * WORDS] > 0, bitorder="little").view(np.uint64), keys.view(np.uint64)
 
 
 def _name(hashes: np.ndarray) -> int:
@@ -136,48 +141,56 @@ def _spread(table: np.ndarray, start: np.ndarray) -> np.ndarray:
     return table[np.arange(len(start)), varies.argmax(1)[which]].astype(np.int64)
 
 
-def _meet(start: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, table: np.ndarray, bins: np.ndarray | None, whole: np.ndarray | None, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meet(start: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, table: np.ndarray, bins: np.ndarray | None, whole: np.ndarray | None, least: int, most: int, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (indices) of meetings that may be alike and have different roots, the first ``most`` of each member; and the start of meetings that have more.
-    start: index of the meeting's first row; bins: not in the first round."""
+    start: index of the meeting's first row; bins: not in the first round; late: set to true for the members of pairs held back."""
     pivot = _spread(table, start)
     order = np.lexsort((ids, pivot, start))
     start, n, root, fp, pivot, table = start[order], n[order].astype(np.int64), root[order], fp[order], pivot[order], table[order].astype(np.int16)
     if bins is not None:
         bins, whole = bins[order], whole[order]
-    given, left, right, more = np.zeros(len(ids), np.int64), [], [], []
+    given, left, right = np.zeros(len(ids), np.int64), [], []
+    held = np.zeros(len(ids), bool)
+    far = np.where(n < SMALL, FAR_SMALL, FAR)
+    # a window ends by the member's own limit, or by the largest one that a partner can have
+    reach = np.where(n * least < SMALL * 1000, FAR_SMALL, FAR)
     alive = np.arange(len(ids))
     for shift in range(1, len(ids)):
         alive = alive[alive + shift < len(ids)]
         alive = alive[start[alive] == start[alive + shift]]
-        # sets under SMALL are asked for no distance, so they end no window
-        alive = alive[(pivot[alive + shift] - pivot[alive] <= FAR) | (n[alive] * least < SMALL * 1000)]
+        alive = alive[pivot[alive + shift] - pivot[alive] <= reach[alive]]
         if not len(alive):
             break
         a, b = n[alive], n[alive + shift]
         can = (root[alive] != root[alive + shift]) & (np.minimum(a, b) * 1000 >= np.maximum(a, b) * least)
         near = alive[can]
-        small = np.minimum(n[near], n[near + shift]) < SMALL
-        near = near[small | (np.abs(table[near] - table[near + shift]).max(1, initial=0) <= FAR)]
-        apart = np.bitwise_count(fp[near] ^ fp[near + shift]).sum(1, dtype=np.int64)
-        near = near[(apart <= FAR) | (np.minimum(n[near], n[near + shift]) < SMALL)]
+        limit = np.maximum(far[near], far[near + shift])
+        close = np.abs(table[near] - table[near + shift]).max(1, initial=0) <= limit
+        near, limit = near[close], limit[close]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + shift]).sum(1, dtype=np.int64) <= limit]
         if bins is not None and len(near):
             near = near[_possible(bins, whole, n, near, near + shift, least)]
         full = given[near] >= most
         if full.any():
-            more.append(start[near[full]])
-            alive = alive[given[alive] < most]
+            held[near[full]] = held[near[full] + shift] = True
             near = near[~full]
+        if shift >= LOOK:
+            over = given[alive] >= most
+            if over.any():
+                held |= np.isin(start, start[alive[over]])
+                alive = alive[~over]
         given[near] += 1
         left.append(near)
         right.append(near + shift)
-    held = np.unique(np.concatenate(more)) if more else np.empty(0, np.int64)
+    if late is not None:
+        late[order[held]] = True
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64), held
-    return order[np.concatenate(left)], order[np.concatenate(right)], held
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.unique(start[held])
+    return order[np.concatenate(left)], order[np.concatenate(right)], np.unique(start[held])
 
 
 def _candidates(least: int, most: int):
-    """Reads (key, id, n, root, fp, pivots), from the second round on also bins, in the order of key. Gives pairs (a, b), and (a, null, key) for each member of a meeting that held pairs back."""
+    """Reads (key, id, n, row: fp and pivots), from the second round on also root and bins, in the order of key. Gives pairs (a, b), and (a, null, key) for each member of a pair held back."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
     def bytes_of(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
@@ -192,15 +205,17 @@ def _candidates(least: int, most: int):
             return pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 3, schema=schema)
         start = np.searchsorted(many, np.repeat(at, size)[many])
         t = t.take(pa.array(many))
-        ids, n, root = (t.column(i).to_numpy() for i in (1, 2, 3))
-        bins = whole = None
-        if t.num_columns > 6:
-            whole = t.column(6).is_valid().to_numpy()
-            bins = bytes_of(t.column(6).fill_null(bytes(BINS)), np.uint8, BINS)
-        x, y, held = _meet(start, ids, n, root, bytes_of(t.column(4), np.uint64, WORDS), bytes_of(t.column(5), np.uint8, PIVOTS), bins, whole, least, most)
+        ids, n = t.column(1).to_numpy(), t.column(2).to_numpy()
+        root, bins, whole = ids, None, None
+        if t.num_columns > 4:
+            root = t.column(4).to_numpy()
+            whole = t.column(5).is_valid().to_numpy()
+            bins = bytes_of(t.column(5).fill_null(bytes(BINS)), np.uint8, BINS)
+        row = bytes_of(t.column(3), np.uint8, 8 * WORDS + PIVOTS)
+        late = np.zeros(len(ids), bool)
+        x, y, _ = _meet(start, ids, n, root, np.ascontiguousarray(row[:, : 8 * WORDS]).view(np.uint64), row[:, 8 * WORDS :], bins, whole, least, most, late)
         a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-        rows = np.unique(np.stack([a, b], 1), axis=0)
-        late = np.flatnonzero(np.isin(start, held))
+        rows, late = np.unique(np.stack([a, b], 1), axis=0), np.flatnonzero(late)
         ends = pa.concat_arrays([pa.array(rows[:, 1]), pa.nulls(len(late), pa.int64())])
         keys = pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(key[many][late])])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows[:, 0], ids[late]])), ends, keys], schema=schema)
@@ -235,7 +250,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 800, most: i
     rows = materialize(texts.mapInArrow(_sketches(shingle), "doc_id long, at long, id long, n int, fp binary, keys array<long>"))
     distinct = materialize(rows.groupBy("id").agg(F.min(place).alias("first"), F.min("at").alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     table = pivot_table(distinct)
-    members = table.select(F.explode("keys").alias("key"), "id", "n", F.col("id").alias("root"), "fp", "pivots")
+    row = F.concat("fp", "pivots").alias("row")
+    members = table.select(F.explode("keys").alias("key"), "id", "n", row)
     sets, links, parts = None, None, None
     while True:
         met = members.repartition("key").sortWithinPartitions("key", "id")
@@ -256,10 +272,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 800, most: i
         parts = materialize(connected_components(links))
         if not late.limit(1).count():
             break
-        # what meetings held back is between their members
+        # a pair held back is between members that meet again
         now = parts.select(F.col("node").alias("id"), F.col("component").alias("to"))
-        again = table.join(sets.select("id", "bins"), "id").join(now, "id", "left").select("id", "n", F.coalesce("to", "id").alias("root"), "fp", "pivots", "bins")
-        members = late.join(again, "id").select("key", "id", "n", "root", "fp", "pivots", "bins")
+        again = table.join(sets.select("id", "bins"), "id").join(now, "id", "left").select("id", "n", row, F.coalesce("to", "id").alias("root"), "bins")
+        members = late.join(again, "id").select("key", "id", "n", "row", "root", "bins")
     named = materialize(distinct.select("id", "first").join(parts, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("root")))
     least_id = materialize(named.groupBy("root").agg(F.min("first").alias("least")))
     names = materialize(named.join(least_id, "root").select("id", "least"))

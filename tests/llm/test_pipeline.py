@@ -122,6 +122,31 @@ def test_pivot_table(spark):
     assert T._bins(np.arange(300, dtype=np.uint64)) is None and sum(T._bins(np.arange(200, dtype=np.uint64))) == 200
 
 
+def test_simhash_keys():
+    """Keys are places and values of the SimHash's own bits, the most decided of each half word; pairs at a similarity of 0.8 meet and are within the limits."""
+    import numpy as np
+
+    from kindred.llm import similar_texts as T
+
+    r = np.random.default_rng(6)
+    for n, far in ((5, T.FAR_SMALL), (20, T.FAR_SMALL), (45, T.FAR_SMALL), (180, T.FAR), (1800, T.FAR)):
+        same = []
+        for _ in range(60):
+            a = r.integers(0, 2**64, n, dtype=np.uint64)
+            (f, k), (g, m) = T._sketch(a), T._sketch(a[: n * 4 // 5])
+            same.append(k == m)
+            assert same[-1].any() and np.bitwise_count(f ^ g).sum() <= far
+            code = k.astype(np.int64)
+            assert list(code >> 12) == list(range(T.KEYS))
+            bits = np.unpackbits(f.view(np.uint8), bitorder="little").reshape(-1, 2, 32)
+            for half, low in ((0, 6), (1, 0)):
+                c = code[: T.WORDS] >> low & 63
+                assert list(bits[np.arange(T.WORDS), half, c >> 1]) == list(c & 1)
+        assert np.mean(same) > 0.21
+    a, b = (T._sketch(r.integers(0, 2**64, 200, dtype=np.uint64))[1] for _ in "ab")
+    assert (a == b).sum() <= 2
+
+
 def test_rows_without_own_ids(spark, tmp_path):
     """Null and shared ids, repeated rows and an extra column: each row is judged for itself, and no clean text is lost."""
     r = random.Random(3)
