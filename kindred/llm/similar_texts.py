@@ -10,10 +10,11 @@ coordinate that spreads them most; by the triangle inequality only a window can
 sizes rule the threshold out, or that are further apart than FAR bits, go (FAR_SMALL bits if a set has under SMALL shingles; either is 4.4 standard deviations beyond
 the mean at 0.8). What is left is confirmed by the sets of 64-bit hashes themselves.
 
-A group of n copies has n**2 pairs, but n - 1 confirmed ones connect it. So a member gives its first few pairs of a meeting, and after those are confirmed or refused, the
-members of pairs held back meet again under the same keys and give more of those between texts not connected yet, until none is held back: all pairs that meet are decided.
-From the second round on, members bring the number of their hashes in each of BINS classes. Two sets share at most the sum of the lesser numbers, so a pair whose
-sum is too small for the threshold is refused in its meeting, without error; in a group of near copies few others are left.
+A group of n copies has n**2 pairs, but n - 1 confirmed ones connect it, and it meets under many keys. So the first round has the first EARLY keys only, and a member gives its
+first few pairs of a meeting. After those are confirmed or refused, all texts meet under the other keys, and the members of pairs held back meet again under the same
+keys; pairs between texts that are connected already aren't given. Members of pairs held back there meet again and give more, until none is held back: all pairs that meet are decided.
+From the second round on, members of pairs held back bring the number of their hashes in each of BINS classes. Two sets share at most the sum of the lesser numbers, so a
+pair whose sum is too small for the threshold is refused in its meeting, without error; in a group of near copies few others are left.
 
 Equal sets are one text from the start. Null and word-less texts are equal. Every row gives a row; a null doc_id takes part and is a component's name only
 if no other is in it. Of each component one (doc_id, text) is its ``first``: the smallest doc_id, nulls last, and of texts that share it the one with the smallest hash.
@@ -23,6 +24,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from kindred.operators.components import connected_components
 from kindred.sources.storage import materialize, ship
 
 KEYS, WORDS = 48, 4
+#: The keys of the first round.
+EARLY = 8
 FAR, FAR_SMALL, SMALL = 64, 76, 64
 PIVOTS, BINS = 24, 256
 #: So many members of a meeting after a full one are looked at for pairs held back; of a larger meeting all members meet again.
@@ -190,7 +194,7 @@ def _meet(start: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, f
 
 
 def _candidates(least: int, most: int):
-    """Reads (key, id, n, row: fp and pivots), from the second round on also root and bins, in the order of key. Gives pairs (a, b), and (a, null, key) for each member of a pair held back."""
+    """Reads (key, id, n, row: fp and pivots), from the second round on also root and bins (may be null), in the order of key. Gives pairs (a, b), and (a, null, key) for each member of a pair held back."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
     def bytes_of(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
@@ -242,7 +246,7 @@ def _candidates(least: int, most: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 800, most: int = 2) -> DataFrame:
-    """doc_id, text_hash, component_id (the smallest doc_id of the component) and first (see above) of each row; texts of similarity ``least`` thousandths or more are linked. most: a member's pairs of a meeting in the first round."""
+    """doc_id, text_hash, component_id (the smallest doc_id of the component) and first (see above) of each row; texts of similarity ``least`` thousandths or more are linked. most: a member's pairs of a meeting in the first two rounds."""
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("at"), F.col("text"))
     # nulls last: structs are compared field by field
@@ -251,31 +255,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 800, most: i
     distinct = materialize(rows.groupBy("id").agg(F.min(place).alias("first"), F.min("at").alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     table = pivot_table(distinct)
     row = F.concat("fp", "pivots").alias("row")
-    members = table.select(F.explode("keys").alias("key"), "id", "n", row)
-    sets, links, parts = None, None, None
-    while True:
+    members = table.select(F.explode(F.slice("keys", 1, EARLY)).alias("key"), "id", "n", row)
+    sets, parts = None, None
+    for turn in count():
         met = members.repartition("key").sortWithinPartitions("key", "id")
         found = materialize(met.mapInArrow(_candidates(least, most), "a long, b long, key long"))
         pairs = materialize(found.where("b is not null").select("a", "b").distinct())
         late = found.where("b is null").select(F.col("a").alias("id"), "key")
-        if sets is None:
-            some = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(late.select("id")).distinct().join(distinct.select("id", "at"), "id"))
+        if turn < 2:  # later members are known from pairs held back
+            some = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(late.select("id")).distinct()
+            some = some.join(sets.select("id"), "id", "left_anti") if sets is not None else some
+            some = materialize(some.join(distinct.select("id", "at"), "id"))
             own = texts.join(some.select("at").distinct(), "at", "left_semi").select("text").mapInArrow(_sets(shingle), "id long, s array<long>, bins binary")
-            sets = materialize(own.groupBy("id").agg(F.first("s").alias("s"), F.first("bins").alias("bins")))
-        else:
-            most *= 16
+            own = materialize(own.groupBy("id").agg(F.first("s").alias("s"), F.first("bins").alias("bins")))
+            sets = own if sets is None else sets.union(own)
         left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
         same = F.size(F.array_intersect("s_a", "s_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
         good = materialize(both.where(F.col("i") * 1000 >= (F.col("t") - F.col("i")) * least).select("a", "b"))
-        links = good if links is None else links.union(good)
-        parts = materialize(connected_components(links))
-        if not late.limit(1).count():
+        if parts is None or good.limit(1).count():
+            parts = materialize(connected_components(good if parts is None else good.union(parts)))
+        if turn and not late.limit(1).count():
             break
         # a pair held back is between members that meet again
+        again = late.groupBy("id").agg(F.collect_list("key").alias("again")).join(sets.select("id", "bins"), "id")
         now = parts.select(F.col("node").alias("id"), F.col("component").alias("to"))
-        again = table.join(sets.select("id", "bins"), "id").join(now, "id", "left").select("id", "n", row, F.coalesce("to", "id").alias("root"), "bins")
-        members = late.join(again, "id").select("key", "id", "n", "row", "root", "bins")
+        known = table.join(again, "id", "inner" if turn else "left").join(now, "id", "left")
+        keys = F.col("again") if turn else F.concat(F.slice("keys", EARLY + 1, KEYS), F.coalesce("again", F.array().cast("array<long>")))
+        members = known.select(F.explode(keys).alias("key"), "id", "n", row, F.coalesce("to", "id").alias("root"), "bins")
+        most *= 16 if turn else 1
     named = materialize(distinct.select("id", "first").join(parts, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("root")))
     least_id = materialize(named.groupBy("root").agg(F.min("first").alias("least")))
     names = materialize(named.join(least_id, "root").select("id", "least"))

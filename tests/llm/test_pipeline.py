@@ -107,6 +107,31 @@ def test_refused_near_copies():
     assert list(held) == [0] and np.bincount(x).max() == 1
 
 
+def test_rounds_of_near_copies(spark, monkeypatch):
+    """A large group of near copies is connected under a few keys before it meets under the others: a text gives few pairs over all rounds, and the group stays whole."""
+    from kindred.llm import similar_texts as T
+
+    r, write, rows = random.Random(9), T.materialize, []
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+
+    def counted(df):
+        out = write(df)
+        rows.extend([out.count()] if out.columns == ["a", "b", "key"] else [])
+        return out
+
+    monkeypatch.setattr(T, "materialize", counted)
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(150)] = word()
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = T.near_duplicates(df).collect()
+    assert len(out) == 300 and {x.component_id for x in out} == {0}
+    assert sum(rows) < 60 * 300
+
+
 def test_pivot_table(spark):
     """The written table's distances to reference fingerprints, recomputed; a hash class of over 255 makes no claim."""
     import numpy as np
