@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ BATCH = (256, 16_384)
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Words whose hash a worker remembers.
 KNOWN = 300_000
+#: Bytes of texts, words or ids that a worker takes and gives at once.
+AT_ONCE = 1 << 20
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
 
@@ -60,11 +63,22 @@ def read(text: str | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).view(np.int64)
 
 
+def _slices(it: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows next to each other with about AT_ONCE bytes in a column, a row at least: what is made of them is held by both Python and the JVM."""
+    for b in it:
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, side="right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def tokenise(docs: DataFrame) -> DataFrame:
     """row (a number of its own), doc_id and words (eight bytes for each) of each row, written once for all passes."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in _slices(it, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([read(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "words"])
 
     ship(docs.sparkSession)
@@ -123,11 +137,14 @@ class Tokens:
 
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _hashes.clear()  # texts have been read
     held, size = [], 0
 
     def given() -> pa.RecordBatch:
-        word, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
+        words = np.concatenate(held)
+        words.sort()  # in place, as np.unique takes four times the words
+        first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array(np.diff(np.r_[first, len(words)]))], ["word", "n"])
 
     for b in it:
         for x in b.column(0):
@@ -136,7 +153,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= 1 << 21:
                 yield given()
                 held, size = [], 0
-    if held:
+    if size:
         yield given()
 
 
@@ -161,7 +178,7 @@ def encode(words: DataFrame, tokens: Tokens) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tokens = sent.value
-        for b in it:
+        for b in _slices(it, 2):
             ids, share, rare, many = [], [], [], []
             for x in b.column(2):
                 i, rest = t.encode(np.frombuffer(x.as_buffer(), np.int64))
@@ -408,7 +425,7 @@ def score(encoded: DataFrame, net: Network) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = sent.value
-        for b in it:
+        for b in _slices(it, 2):
             texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(2)]
             log_p = [net.log_p(ids, at).astype(np.float64) for some in _parts(texts) for ids, at in _steps(some, 1 << 14)]
             ends = np.r_[0.0, np.cumsum(np.concatenate([np.empty(0), *log_p]))]

@@ -621,6 +621,34 @@ def test_score_by_hand(spark, monkeypatch):
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(net.arrays, lm_score.train(other, tokens, shard=150).arrays, strict=True))
 
 
+def test_language_model_gives_small_batches(spark, monkeypatch):
+    """A worker's memory doesn't grow with the rows that Spark hands it at once."""
+    given = type(spark.range(1)).mapInArrow
+
+    def watched(df, f, schema, *rest):
+        def small(it):
+            for b in f(it):
+                assert sum(c.nbytes for c in b.columns) < 3 << 20, b.schema.names
+                yield b
+
+        return given(df, small, schema, *rest)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", watched)
+    df = docs(spark, [*made(34, 20, 30), None, ""]).crossJoin(spark.range(0, 400, 1, 1)).coalesce(1)
+    df = df.select((F.col("doc_id") + 100 * F.col("id")).alias("doc_id"), F.repeat("text", 5).alias("text"))
+    words = lm_score.tokenise(df)
+    assert words.agg(F.sum(F.length("words"))).first()[0] > 5 << 20
+    tokens = lm_score.vocabulary(words)
+    rows = lm_score.score(lm_score.encode(words, tokens), lm_score.Network(tokens)).collect()
+    by = collections.defaultdict(set)
+    for x in rows:
+        by[x.doc_id % 100].add((x.n_tokens, round(x.score, 1)))
+    assert len(rows) == df.count() and tokens.total == sum(x.n_tokens for x in rows) and len({x.doc_id for x in rows}) == len(rows)
+    assert all(len({n for n, _ in v}) == 1 and max(s for _, s in v) - min(s for _, s in v) < 1 for v in by.values())
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")
+    assert [(x.n_tokens, x.score) for x in lm_score.fit_score(blank).collect()] == [(0, 0)] * 3
+
+
 def test_every_place_is_a_target(spark):
     texts = [np.array(x, np.uint16) for x in ([1], [2, 3], [], [4, 5, 6], list(range(7, 24)))]
     for batch in (1, 4, 100):
