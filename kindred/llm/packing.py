@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,14 @@ BUCKET_ROWS, BUCKETS = 50_000, 256
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins words over it, so a word's ids are kept.
 
-    A new word of letters, with a mark after it or not, is two units of the tokenizer at most, and case doesn't count; new units are
-    encoded together, one space between them, and each ends with a word-end token. All other words are encoded one by one.
+    Nor does it join a letter and a mark, so marks at the end of a word are a word of their own; and case doesn't count. New words of letters are
+    one unit of the tokenizer each: they are encoded together, one space between them, and each ends with a word-end token. All other words are encoded one by one.
     """
 
-    #: Letters of one unit, and a mark that is a second one. All stay letters under the tokenizer's normaliser.
-    PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]?")
+    #: Letters of one unit. All stay letters under the tokenizer's normaliser.
+    PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    #: ASCII marks after such a letter, up to white space or the end; not the apostrophe, which may begin a unit with letters.
+    MARKS = re.compile("[!-&(-/:-@[-`{-~](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff].)[!-&(-/:-@[-`{-~]*(?![^ \t\n])")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -53,8 +56,9 @@ class Encoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
+        added = {x for t in self.tokenizer.get_added_tokens_decoder().values() for x in (t.content, t.content.lower())}
+        #: Tokens that are found in texts as they stand, and what could become one by its case.
+        self.added = re.compile("|".join(map(re.escape, sorted(added))) or "(?!)")
 
     def _units(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words of one unit."""
@@ -66,42 +70,42 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(units, got, strict=True))
 
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
         plain = list(filter(self.PLAIN.fullmatch, words))
-        marks, units = self.marks, self.units
-        split = [(w, w[:-1].lower(), w[-1]) if w[-1] in marks else (w, w.lower(), "") for w in plain]
-        new = list({u for _, u, _ in split}.difference(units))
-        room = max(0, CACHE - len(units))
-        for i in range(0, len(new), 5_000):
-            units.update(self._units(new[i : i + 5_000]))
-        yield from [(w, units[u] + marks[m] if m else units[u]) for w, u, m in split]
-        for u in new[room:]:
-            del units[u]
+        low = list(map(str.lower, plain))
+        units, out = list(set(low)), {}
+        for i in range(0, len(units), 5_000):
+            out.update(self._units(units[i : i + 5_000]))
+        out = dict(zip(plain, map(out.__getitem__, low), strict=True))
         other = list(set(words).difference(plain)) if len(plain) < len(words) else []
-        if other:
-            got = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-            yield from ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, got, strict=True))
+        for i in range(0, len(other), 5_000):
+            got = self.tokenizer.encode_batch_fast(other[i : i + 5_000], add_special_tokens=False)
+            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other[i : i + 5_000], got, strict=True))
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        """Words, with marks at their end as words, in lower case if that is sure to be the tokenizer's."""
+        # Python's split also cuts at four control characters that the tokenizer doesn't take for white space
+        if _CONTROLS.search(text):
+            return [w for w in re.split("[ \t\n]", text) if w]
+        low = text if _WIDE.search(text) else text.lower()
+        return (text if self.added.search(low) else self.MARKS.sub(r" \g<0>", low)).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # Python's split also cuts at four control characters that the tokenizer doesn't take for white space
-        split = [t.split() if not _CONTROLS.search(t) else [w for w in re.split("[ \t\n]", t) if w] for t in texts]
+        split = list(map(self._split, texts))
         known = self.words
-        got = [list(map(known.get, words)) for words in split]
-        lost = [[i for i, ids in enumerate(found) if ids is None] for found in got]
-        new = list({words[i] for words, at in zip(split, lost, strict=True) for i in at})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 5_000):
-            fresh.update(self._encode(new[i : i + 5_000]))
-        for words, found, at in zip(split, got, lost, strict=True):
-            for i in at:
-                found[i] = fresh[words[i]]
-        for w in new[: max(0, CACHE - len(known))]:
-            known[w] = fresh[w]
-        return list(map(b"".join, got))
+        new = list(set(chain.from_iterable(split)).difference(known))
+        room = max(0, CACHE - len(known))
+        known.update(self._encode(new))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new[room:]:
+            del known[w]
+        return out
 
 
 _CONTROLS = re.compile("[\x1c-\x1f]")
+_WIDE = re.compile("[^\x00-\xff]")
 _encoders: dict[str, Encoder] = {}
 
 

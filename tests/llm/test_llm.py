@@ -213,6 +213,24 @@ def test_packing(spark, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_packing_encodes_words_together():
+    encoder = packing.Encoder(WORDS)
+    tokenizer, given = encoder.tokenizer, []
+    whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    r = random.Random(36)
+    bits = [*"aZéßµÀ×÷.,;!?*$#_|<>'’`^~-7 \n\t\r\xa0\x1c\x85\u0301\u0338İΣς中", "'S", "'ll", "<|endoftext|>", "<|EndOfText|>", "***", ". ", "word", "The"]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 12))) for _ in range(6_000)] + ["".join(r.choices(bits[:24], k=8)) for _ in range(2_000)]
+    for kept in (10**6, 40):  # with room for all words, and for few
+        encoder.words.clear()
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(packing, "CACHE", kept)
+            got = [x for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])]
+        assert [t for t, x in zip(texts, got, strict=True) if x != whole(t)] == [] and len(encoder.words) <= kept
+    encoder.tokenizer = type("T", (), {"encode_batch_fast": lambda _, x, **k: given.extend(x) or tokenizer.encode_batch_fast(x, **k)})()
+    words = ["".join(r.choices("aeioutnsrl", k=9)) + r.choice(["***", ".$$$", "###"]) for _ in range(3_000)]
+    assert encoder.encode([" ".join(words)]) == [b"".join(map(whole, words))] and len(given) < 10
+
+
 def test_fullest_is_best():
     r = random.Random(3)
     for _ in range(200):
